@@ -1,0 +1,8 @@
+"""Operators for training-data corpora; nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of the package: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
