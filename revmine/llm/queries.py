@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing
+from . import bpe, exact, idfile, mixing, unigram
 from .common import table
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents")))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.label(table(spark, sf_dir, "documents"))
 
@@ -16,5 +24,9 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op7_source_mixing)}
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(table(spark, sf_dir, "documents")).drop("first_ids")
+
+
+QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op5_token_counts, op6_exact_dedup, op7_source_mixing, op9_token_file)}
 ORACLES = {"op6_exact_dedup": exact.ORACLE, "op7_source_mixing": mixing.ORACLE}

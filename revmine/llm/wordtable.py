@@ -109,6 +109,14 @@ def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]
     return docs.mapInArrow(task, OCCURRENCES)
 
 
+def sums(whole: Numbered, values: np.ndarray) -> np.ndarray:
+    """values (one for each occurrence) summed by document; equal documents get equal sums."""
+    out, some = np.zeros(len(whole.sizes)), whole.sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (whole.ends - whole.sizes)[some])
+    return out
+
+
 def by_batch(values: DataFrame, *order: str) -> DataFrame:
     """The rows of each batch together, in order; a batch is of bounded size, so no group is."""
     return values.repartition(F.col("batch")).sortWithinPartitions("batch", *order)
