@@ -34,7 +34,7 @@ _LATIN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?
 _FULL = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Characters on whose kinds all Unicode versions agree; a text with others is cut by the library itself.
-_SURE = "\x00-ɏͰ-ͳά-ΡΣ-ҁ‐-‧‰-⁞€、-〃ぁ-ゖァ-ヺ一-龥가-힣！-～"
+_SURE = r"\x00-\u024f\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u0481\u2010-\u2027\u2030-\u205e\u20ac\u3000-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e"
 
 
 def default_vocabulary() -> str:
