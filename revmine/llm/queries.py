@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, idfile, mixing, unigram
+from . import bpe, exact, idfile, mixing, simhash, unigram
 from .common import table
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.label(table(spark, sf_dir, "documents")).drop("__key", "__root")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents")))
 
@@ -28,5 +32,5 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.round_trip(table(spark, sf_dir, "documents")).drop("first_ids")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op5_token_counts, op6_exact_dedup, op7_source_mixing, op9_token_file)}
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_counts, op6_exact_dedup, op7_source_mixing, op9_token_file)}
 ORACLES = {"op6_exact_dedup": exact.ORACLE, "op7_source_mixing": mixing.ORACLE}
