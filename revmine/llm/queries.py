@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, idfile, mixing, simhash, unigram
+from . import bpe, exact, idfile, mixing, ogg, simhash, unigram, warc
 from .common import table
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.label(table(spark, sf_dir, "documents")).drop("__key", "__root")
 
@@ -32,5 +36,9 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.round_trip(table(spark, sf_dir, "documents")).drop("first_ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_counts, op6_exact_dedup, op7_source_mixing, op9_token_file)}
+def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_counts, op6_exact_dedup, op7_source_mixing, op9_token_file, op10_ogg_media)}
 ORACLES = {"op6_exact_dedup": exact.ORACLE, "op7_source_mixing": mixing.ORACLE}
