@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, idfile, mixing, ogg, simhash, unigram, warc
+from . import bpe, exact, idfile, mixing, ogg, quality, simhash, unigram, warc
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -40,5 +44,5 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_counts, op6_exact_dedup, op7_source_mixing, op9_token_file, op10_ogg_media)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc_round_trip, op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_counts, op6_exact_dedup, op7_source_mixing, op9_token_file, op10_ogg_media)}
 ORACLES = {"op6_exact_dedup": exact.ORACLE, "op7_source_mixing": mixing.ORACLE}

@@ -66,6 +66,13 @@ def batch_file(folder: str, batch: int) -> str:
     return f"{folder}/batches/{batch}.zst"
 
 
+def _strings(words: list) -> pa.Array:
+    """Words as strings; a splitter may give str or UTF-8 bytes."""
+    if words and isinstance(words[0], bytes):
+        return pa.array(words, pa.binary()).cast(pa.string())
+    return pa.array(words or [None], pa.string())
+
+
 def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], folder: str, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """docs(id long, text string, flag boolean) -> a row for each distinct word of each batch.
 
@@ -87,7 +94,7 @@ def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]
             batch = (pid << 24) | order
             common.write_bytes(batch_file(folder, batch), pack(whole))
             count = np.bincount(words[np.repeat(whole.flags, sizes)], minlength=len(numbers))
-            rows = pa.RecordBatch.from_arrays([pa.array(np.full(max(1, len(numbers)), batch)), pa.array(np.arange(len(numbers), dtype=np.int32) if numbers else np.array([-1], np.int32)), pa.array(list(numbers) or [None], pa.string()), pa.array(count.astype(np.int64) if numbers else np.zeros(1, np.int64))], ["batch", "pos", "word", "n"])
+            rows = pa.RecordBatch.from_arrays([pa.array(np.full(max(1, len(numbers)), batch)), pa.array(np.arange(len(numbers), dtype=np.int32) if numbers else np.array([-1], np.int32)), _strings(list(numbers)), pa.array(count.astype(np.int64) if numbers else np.zeros(1, np.int64))], ["batch", "pos", "word", "n"])
             order += 1
             numbers.clear()
             ids, flags, parts, chars = [], [], [], 0
