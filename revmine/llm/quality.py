@@ -170,3 +170,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Per row: doc_id, held_out, score, predicted."""
     slim = docs.select(F.col(f"`{id_col}`").alias(id_col), common.text_of(docs, text_col).alias("__text"))
     return scored(slim, fit(docs, labels, id_col, text_col), "__text").select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that the classifier accepts, with the columns of docs."""
+    name = "__score"
+    return scored(docs, fit(docs, labels, id_col, text_col), text_col, name).filter(F.col(name) >= threshold).select([F.col(f"`{c}`") for c in docs.columns])
