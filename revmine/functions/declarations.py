@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|^[ \t]*#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S | re.M)
 _TOKEN = re.compile(r"[A-Za-z_]\w*|::|\d[\w.]*|[{}();,=~:<>\[\]]|[^\s\w]")
@@ -169,18 +170,18 @@ def related(code: str | None) -> str:
     return " ".join(f"(CursorKind.{kind}:{name})" for k, (_, kind, name) in enumerate(found) if k in keep)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def projection(code):
     """Column of '(KIND:name)' for every declaration, outer before inner."""
     return code.map(projected)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def related_projection(code):
     return code.map(related)
 
 
-@F.udtf(returnType="depth int, kind string, name string")
+@F.udtf(returnType=StructType().add("depth", IntegerType()).add("kind", StringType()).add("name", StringType()))
 class DeclarationRows:
     """Table function: a row for each declaration."""
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 NATIVE = 62
 
@@ -83,7 +84,7 @@ def common_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_long(a, b):
     """As lcs(), for strings of any length."""
     import pandas as pd
