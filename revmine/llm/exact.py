@@ -49,8 +49,12 @@ def with_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.withColumns({_ID: F.col(f"`{id_col}`"), _SHA: sha}).withColumn(_HASH, F.xxhash64(_SHA))
 
 
-def _labelled(hashed: DataFrame, max_slots: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that cannot repeat, rows that may, with keep_id and group_size of their group)."""
+def _labelled(hashed: DataFrame, max_slots: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that cannot repeat, rows that may, with keep_id and group_size of their group).
+
+    The groups are written before they are joined, so that Spark can split a group with very many rows, or
+    broadcast a small table of groups.
+    """
     keys = hashed.select(_HASH)
     slots = slots_for(keys.count(), max_slots)
     words = F.broadcast(repeated_filter(keys, slots))
@@ -65,21 +69,22 @@ def _labelled(hashed: DataFrame, max_slots: int) -> tuple[DataFrame, DataFrame]:
     single = marked.filter(~may).drop("__hit0", "__hit1").withColumns({"keep_id": F.col(_ID), "group_size": F.lit(1).cast("long")})
     maybe = marked.filter(may).drop("__hit0", "__hit1")
     groups = maybe.groupBy(F.col(_SHA).alias("__group")).agg(F.max(_ID).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = common.written(groups, folder, "groups")
     return single, maybe.join(groups, F.col(_SHA) == F.col("__group")).drop("__group")
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
-    hashed = with_hash(docs, id_col, text_col).select(_ID, _SHA, _HASH)
-    hashed = common.written(hashed, common.shared_folder(docs.sparkSession, "exact"), "hashes")
-    single, repeated = _labelled(hashed, max_slots)
+    folder = common.shared_folder(docs.sparkSession, "exact")
+    hashed = common.written(with_hash(docs, id_col, text_col).select(_ID, _SHA, _HASH), folder, "hashes")
+    single, repeated = _labelled(hashed, max_slots, folder)
     return single.unionByName(repeated).select(F.col(_ID).alias(id_col), "keep_id", "group_size", F.col(_ID).eqNullSafe(F.col("keep_id")).alias("kept"), F.col(_SHA).alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
     """The rows that stay, with the columns of docs."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    single, repeated = _labelled(with_hash(docs, id_col, text_col), max_slots)
+    single, repeated = _labelled(with_hash(docs, id_col, text_col), max_slots, common.shared_folder(docs.sparkSession, "exact"))
     stay = repeated.filter(F.col(_ID).eqNullSafe(F.col("keep_id"))).dropDuplicates([_SHA])
     return single.select(own).unionByName(stay.select(own))
 
