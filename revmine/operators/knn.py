@@ -42,7 +42,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """cosine: 1 - cos; l2sq: squared Euclidean distance."""
     if metric == "cosine":
-        return np.round(1 - _unit(queries) @ _unit(rows).T, DIGITS)
+        return np.round(1 - _unit(queries) @ _unit(rows).T, DIGITS) + 0.0  # no negative zeros
     if metric == "l2sq":
         return np.round(np.maximum((queries * queries).sum(1)[:, None] + (rows * rows).sum(1)[None] - 2 * queries @ rows.T, 0), DIGITS)
     raise ValueError(f"unknown metric {metric}")

@@ -15,7 +15,7 @@ from ..operators import ingest
 
 
 def source(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream."""
+    """A folder (or a pattern of paths) of Parquet files as a stream."""
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -56,4 +56,4 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of a key in tumbling windows of event time; rows later than ``late`` are dropped."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
