@@ -1 +1,8 @@
-"""revmine: Spark-first mining and retrieval of review text, plus corpus operators."""
+"""Code-review analytics and corpus operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of the package: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

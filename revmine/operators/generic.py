@@ -11,6 +11,8 @@ Defined cases: null text is an empty text; an empty phrase matches an empty text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,11 @@ def normalised(phrases: DataFrame) -> DataFrame:
     return phrases.groupBy(text.words_only("phrase").alias("p")).agg(F.max("cap").alias("cap")).withColumn("m", F.length("p")).withColumn("d", slack(F.col("m")))
 
 
-def _scored(pairs: DataFrame, score) -> DataFrame:
-    """pairs(n, p) with the columns of score(count), by the native count where a side is short enough."""
+def _scored(pairs: DataFrame, score: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """pairs(n, p) with score(ratio, token_set_ratio), natively where a side is short enough."""
     short = F.least(F.length("n"), F.length("p")) <= fuzzy.NATIVE
-    native = pairs.filter(short).select("*", *score(fuzzy.lcs))
-    return native.unionByName(pairs.filter(~short).select("*", *score(fuzzy.lcs_long)))
+    native = pairs.filter(short).withColumn(name, score(fuzzy.ratio("n", "p"), fuzzy.token_set_ratio("n", "p")))
+    return native.unionByName(pairs.filter(~short).withColumn(name, score(fuzzy.ratio_long("n", "p"), fuzzy.token_set_ratio_long("n", "p"))))
 
 
 def matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -59,8 +61,8 @@ def matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     banded = table.withColumn("size", F.explode(F.sequence(F.greatest(F.col("m") - F.col("d"), F.lit(0)), longest)))
     pairs = few.join(banded, F.length("n") == F.col("size")).select("n", "p", "m", "d")
     typo = F.abs(F.length("n") - F.col("m")) <= F.col("d")
-    scores = lambda count: [F.when(typo, fuzzy.token_set_ratio(F.col("n"), F.col("p"), count) >= NEAR).otherwise((F.length("n") > F.col("m") + F.col("d")) & (fuzzy.ratio(F.col("n"), F.col("p"), count) >= STRICT)).alias("hit")]
-    near = _scored(pairs, scores).filter("hit").select("n")
+    hit = lambda ratio, by_tokens: F.when(typo, by_tokens >= NEAR).otherwise((F.length("n") > F.col("m") + F.col("d")) & (ratio >= STRICT))
+    near = _scored(pairs, hit, "hit").filter("hit").select("n")
     return exact.select("n").unionByName(capped).unionByName(near).distinct()
 
 
@@ -83,14 +85,14 @@ def audit(texts: DataFrame, phrases: DataFrame, shortest: int = 3) -> DataFrame:
     low, high = F.ceil(F.col("m") * NEAR / (200 - NEAR)).cast("int"), F.floor(F.col("m") * (200 - NEAR) / NEAR).cast("int")
     banded = table.filter("m > 0").withColumn("size", F.explode(F.sequence(low, high)))
     pairs = fit.join(banded, F.length("n") == F.col("size")).select("n", "p")
-    best = _scored(pairs, lambda count: [fuzzy.ratio(F.col("n"), F.col("p"), count).alias("score")]).groupBy("n").agg(F.max("score").alias("score")).filter(F.col("score") >= NEAR)
+    best = _scored(pairs, lambda ratio, _: ratio, "score").groupBy("n").agg(F.max("score").alias("score")).filter(F.col("score") >= NEAR)
     lengths = table.select(F.explode(F.sequence(F.greatest(F.col("m") - reach, F.lit(0)), F.col("m") + reach)).alias("size")).distinct().withColumn("close", F.lit(True))
     return best.join(lengths, F.length("n") == F.col("size"), "left").filter((F.col("score") >= STRICT) | F.coalesce("close", F.lit(False))).select("n", "score")
 
 
-def is_near_phrase(n: Column, phrase: str) -> Column:
-    """The rule for one given phrase (already normalised), by plain ratio."""
-    m = len(phrase)
-    d, score = max(2, min(4, int(m * 0.2))), fuzzy.ratio(n, F.lit(phrase))
+def is_near_phrase(n: str, phrase: str) -> Column:
+    """The rule for a column and one given phrase (already normalised), by plain ratio."""
+    m, spelled = len(phrase), "'" + phrase.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    d, score = max(2, min(4, int(m * 0.2))), fuzzy.ratio(n, spelled)
     gap = F.length(n) - m
-    return (n == phrase) | ((F.abs(gap) <= d) & (score >= NEAR)) | ((gap > d) & (gap <= m * 2 * (100 - STRICT) / STRICT) & (score >= STRICT))
+    return (F.col(n) == phrase) | ((F.abs(gap) <= d) & (score >= NEAR)) | ((gap > d) & (gap <= m * 2 * (100 - STRICT) / STRICT) & (score >= STRICT))

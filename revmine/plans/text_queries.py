@@ -106,7 +106,7 @@ def one_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-match rule for one phrase, over the comments that have its word or about its length."""
     n = sql.comments(spark, sf_dir).select("comment_id", text.words_only("comment_text").alias("n"))
     near = n.filter(F.array_contains(F.split("n", " "), "fixed") | (F.abs(F.length("n") - 5) <= 2))
-    return near.select("comment_id", (F.length("n") <= 7).alias("short"), generic.is_near_phrase(F.col("n"), "fixed").alias("dropped"))
+    return near.select("comment_id", (F.length("n") <= 7).alias("short"), generic.is_near_phrase("n", "fixed").alias("dropped"))
 
 
 _PARTS = "list_filter(string_split(filename, '/'), lambda x: x <> '' AND x <> '.')"
