@@ -65,6 +65,7 @@ def sweep(scored: DataFrame, steps: int = 100, label: str = "label", probability
     grid = spark.range(steps + 1).select(F.col("id").cast("int").alias("step"))
     above = F.least(F.greatest(F.ceil(F.col(probability) * steps) - 1, F.lit(-1)), F.lit(steps)).cast("int")
     above = F.when(F.col(probability) > (above + 1) / F.lit(float(steps)), above + 1).when((above >= 0) & ~(F.col(probability) > above / F.lit(float(steps))), above - 1).otherwise(above)
+    above = F.least(above, F.lit(steps))
     seen = scored.groupBy(above.alias("last")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     all_ = grid.join(seen, F.col("step") == F.col("last"), "left").select("step", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
     from_ = Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing)

@@ -93,7 +93,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    return spark.read.schema(schema).csv(path, header=True, escape='"')
 
 
 def metric_logs(spark: SparkSession, pattern: str) -> DataFrame:
