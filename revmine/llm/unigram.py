@@ -6,7 +6,8 @@ alone, so it is computed once for all words that share it. A terminal node's tok
 word and goes back to the batches by position.
 
 The unigram model is the vocabulary itself: piece k in order of rank has probability in proportion to
-1 / (k + 1). Ties between segmentations go to the one with fewer tokens. All bytes are pieces, so that
+1 / (k + 1). Log probabilities are rounded to millionths and summed as integers, so sums are exact in any
+order and ties are true ties; they go to the segmentation with fewer tokens. All bytes are pieces, so that
 every text has a segmentation. Added tokens count as one.
 
 Defined cases: null or empty text has 0 tokens and score 0; repeated rows give one result each; an empty
@@ -27,19 +28,22 @@ from . import bpe, common, wordtable
 
 #: Nodes of a trie before it is started anew; words come sorted, so little sharing is lost.
 TRIE_NODES = 1_500_000
+#: Decimal digits of a piece's log probability.
+DIGITS = 6
+UNIT = 10**DIGITS
 
 
 def scores(vocabulary: str) -> dict[bytes, float]:
     ranked = sorted(bpe.pieces(vocabulary).items())
     total = math.log(sum(1 / (k + 1) for k in range(len(ranked))))
-    return {piece: -math.log(k + 1) - total for k, (_, piece) in enumerate(ranked)}
+    return {piece: round(-math.log(k + 1) - total, DIGITS) for k, (_, piece) in enumerate(ranked)}
 
 
 class Trie:
-    """Words in a trie of bytes; score and count of the best segmentation at every node."""
+    """Words in a trie of bytes; score (in 1 / UNIT) and count of the best segmentation at every node."""
 
     def __init__(self, piece_scores: dict[bytes, float], added: list[bytes]):
-        self.of, self.added = piece_scores, set(added)
+        self.of, self.added = {piece: round(s * UNIT) for piece, s in piece_scores.items()}, set(added)
         self.longest = [0] * 256
         for piece in piece_scores:
             self.longest[piece[-1]] = max(self.longest[piece[-1]], len(piece))
@@ -47,9 +51,9 @@ class Trie:
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
-        self.score, self.count = [0.0], [0]
+        self.score, self.count = [0], [0]
 
-    def add(self, word: bytes) -> tuple[float, int]:
+    def add(self, word: bytes) -> tuple[int, int]:
         if word in self.added:
             return self.of[word], 1
         if len(self.score) > TRIE_NODES:
@@ -59,12 +63,12 @@ class Trie:
             key = node << 8 | byte
             node = child.get(key, 0)
             if not node:
-                best, fewest = -math.inf, 0
+                best, fewest = None, 0
                 for a in range(max(0, d - self.longest[byte]), d):
                     piece = of.get(word[a:d])
                     if piece is not None:
                         s, n = score[path[a]] + piece, count[path[a]] + 1
-                        if s > best + 1e-9 or (s > best - 1e-9 and n < fewest):
+                        if best is None or s > best or (s == best and n < fewest):
                             best, fewest = s, n
                 node = child[key] = len(score)
                 score.append(best)
@@ -80,7 +84,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), common.text_of(docs, text_col).alias("text"), F.lit(False).alias("flag"))
 
     def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, last, value = Trie(scores(shipped.value), [x.encode() for x in added]), None, (0.0, 0)
+        trie, last, value = Trie(scores(shipped.value), [x.encode() for x in added]), None, (0, 0)
         for rows in batches:
             coded = rows.column("word").fill_null("").dictionary_encode()
             found = []
@@ -89,16 +93,16 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     last, value = word, trie.add(word.encode())
                 found.append(value)
             at = coded.indices.to_numpy()
-            table = np.array(found, np.float64).reshape(-1, 2)[at]
+            table = np.array(found, np.int64).reshape(-1, 2)[at]
             yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("pos"), pa.array(table[:, 1].astype(np.int32)), pa.array(table[:, 0])], ["batch", "pos", "n", "score"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in common.runs(batches, "batch"):
             whole = wordtable.unpack(common.read_bytes(wordtable.batch_file(folder, batch)))
             n, score = (wordtable.sums(whole, rows.column(c).to_numpy().astype(np.float64)[whole.words]) for c in ("n", "score"))
-            out = pa.RecordBatch.from_arrays([pa.array(whole.id_list(), pa.int64()), pa.array(whole.sizes), pa.array(n.astype(np.int64)), pa.array(score)], [id_col, "n_words", "n_tokens", "score"])
+            out = pa.RecordBatch.from_arrays([pa.array(whole.id_list(), pa.int64()), pa.array(whole.sizes), pa.array(n.astype(np.int64)), pa.array(score / UNIT)], [id_col, "n_words", "n_tokens", "score"])
             yield from common.in_parts(out, 20_000)
 
     words = wordtable.split_batches(slim, lambda: bpe.splitter(added), folder, batch_chars).select("batch", "pos", "word")
-    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(insert, "batch long, pos int, n int, score double")
+    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(insert, "batch long, pos int, n int, score long")
     return wordtable.by_batch(counted, "pos").mapInArrow(gather, f"`{id_col}` long, n_words long, n_tokens long, score double")

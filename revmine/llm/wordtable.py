@@ -47,7 +47,7 @@ class Numbered(NamedTuple):
 def pack(b: Numbered) -> bytes:
     planes = np.ascontiguousarray(b.words.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     head = np.array([len(b.ids), len(b.words)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b.ids.astype("<i8").tobytes() + b.known.astype(np.uint8).tobytes() + b.flags.astype(np.uint8).tobytes() + b.sizes.astype("<i8").tobytes() + planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(head + b.ids.astype("<i8").tobytes() + b.known.astype(np.uint8).tobytes() + b.flags.astype(np.uint8).tobytes() + b.sizes.astype("<i8").tobytes() + planes.tobytes())
 
 
 def unpack(data: bytes) -> Numbered:
