@@ -30,12 +30,15 @@ def window_count(n: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Col
 
 
 def windows(df: DataFrame, column: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """A row for each window of white-space tokens: window_no (from 1) and window_text. The last window reaches the end; a blank text has one empty window."""
+    """A row for each window of white-space tokens: window_no (from 1) and window_text. The last window reaches the end; a blank text has one empty window.
+
+    A text is tokenised once, and only window texts are exploded: no row carries all the tokens.
+    """
     step = window - overlap
-    cut = df.withColumn("__tokens", text.tokens(column))
-    cut = cut.withColumn("window_no", F.explode(F.sequence(F.lit(1), window_count(F.size("__tokens"), window, overlap))))
-    part = F.slice("__tokens", (F.col("window_no") - 1) * step + 1, F.lit(window))
-    return cut.withColumn("window_text", F.when(F.size("__tokens") > 0, F.array_join(part, " ")).otherwise("")).drop("__tokens")
+    part = lambda tokens: lambda k: F.array_join(F.slice(tokens, (k - 1) * step + 1, F.lit(window)), " ")
+    cut = text.let(text.tokens(column), lambda tokens: F.transform(F.sequence(F.lit(1), window_count(F.size(tokens), window, overlap)), part(tokens)))
+    out = df.select("*", F.posexplode(cut).alias("window_no", "window_text"))
+    return out.withColumn("window_no", F.col("window_no") + 1)
 
 
 def pair_lengths(a: Column, b: Column, most: Column) -> tuple[Column, Column]:
@@ -50,19 +53,22 @@ def pair_features(a: Column, b: Column, length: int, most_a: int = 50, cls: int
 
     An empty b leaves its separator out; the CLS token is of segment 1.
     """
-    first = F.slice(a, 1, most_a)
-    none = F.size(b) == 0
-    la, lb = pair_lengths(F.size(first), F.size(b), F.lit(length - 3))
-    la = F.when(none, F.least(F.size(first), F.lit(length - 2))).otherwise(la)
-    lb = F.when(none, 0).otherwise(lb)
-    tail = F.when(lb > 0, 1).otherwise(0)
-    some = lambda ids, n: F.slice(ids, F.lit(1), n)
     empty = F.array().cast("array<int>")
-    ids = F.concat(some(first, la), F.array(F.lit(sep)), F.when(lb > 0, F.concat(some(b, lb), F.array(F.lit(sep)))).otherwise(empty))
-    segments = F.concat(F.array_repeat(F.lit(0), la + 1), F.array_repeat(F.lit(1), lb + tail))
-    place = (lambda x, one: F.concat(x, F.array(F.lit(one)))) if cls_last else (lambda x, one: F.concat(F.array(F.lit(one)), x))
-    ids, segments = place(ids, cls), place(segments, 1)
-    rest = length - (la + lb + tail + 2)
-    full = (lambda x, fill: F.concat(F.array_repeat(F.lit(fill), rest), x)) if left_pad else (lambda x, fill: F.concat(x, F.array_repeat(F.lit(fill), rest)))
-    mask = F.array_repeat(F.lit(1), la + lb + tail + 2)
-    return F.struct(full(ids, pad).alias("input_ids"), full(mask, 0).alias("input_mask"), full(segments, 0).alias("segment_ids"))
+
+    def made(s: Column) -> Column:
+        some = lambda ids, n: F.slice(ids, F.lit(1), n)
+        tail = F.when(s["lb"] > 0, 1).otherwise(0)
+        ids = F.concat(some(s["a"], s["la"]), F.array(F.lit(sep)), F.when(s["lb"] > 0, F.concat(some(s["b"], s["lb"]), F.array(F.lit(sep)))).otherwise(empty))
+        segments = F.concat(F.array_repeat(F.lit(0), s["la"] + 1), F.array_repeat(F.lit(1), s["lb"] + tail))
+        place = (lambda x, one: F.concat(x, F.array(F.lit(one)))) if cls_last else (lambda x, one: F.concat(F.array(F.lit(one)), x))
+        ids, segments = place(ids, cls), place(segments, 1)
+        real = s["la"] + s["lb"] + tail + 2
+        full = (lambda x, fill: F.concat(F.array_repeat(F.lit(fill), length - real), x)) if left_pad else (lambda x, fill: F.concat(x, F.array_repeat(F.lit(fill), length - real)))
+        return F.struct(full(ids, pad).alias("input_ids"), full(F.array_repeat(F.lit(1), real), 0).alias("input_mask"), full(segments, 0).alias("segment_ids"))
+
+    def sized(s: Column) -> Column:
+        none, n = F.size(s["b"]) == 0, F.size(s["a"])
+        la, lb = pair_lengths(n, F.size(s["b"]), F.lit(length - 3))
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), F.when(none, F.least(n, F.lit(length - 2))).otherwise(la).alias("la"), F.when(none, 0).otherwise(lb).alias("lb"))
+
+    return text.let(F.struct(F.slice(a, 1, most_a).alias("a"), b.alias("b")), lambda s: text.let(sized(s), made))

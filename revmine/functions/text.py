@@ -7,6 +7,8 @@ Patterns are written with explicit character classes, so that the JVM's and an R
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,14 +41,18 @@ def text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(text(c), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def tokens(c: Column | str) -> Column:
     """White-space tokens; none for a blank text."""
-    s = strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"[{SPACE}]+"))
+    return F.regexp_extract_all(text(c), F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
 def token_count(c: Column | str) -> Column:

@@ -39,9 +39,10 @@ def negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED, shown: int
     review, so partners are uniform over the others. A round is a join on unique numbers, whatever the skew.
     Raises if there is one review only.
     """
+    folder = work.shared_folder(rows.sparkSession, "negatives")
+    rows = work.written(rows, f"{folder}/rows")
     if rows.select("pr_number").distinct().limit(2).count() < 2:
         raise ValueError("negatives need rows of two reviews at least")
-    folder = work.shared_folder(rows.sparkSession, "negatives")
     placed, n = ranking.numbered(rows, ranking.hash_key(seed, *[F.col(c) for c in id_cols]), *id_cols)
     placed = work.written(placed, f"{folder}/numbered")
     partner = placed.select(F.col("row_no").alias("j"), F.col("pr_number").alias("other"), F.col("commenter").alias("theirs"), F.col("comment").alias("said"))
@@ -61,7 +62,8 @@ def negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED, shown: int
 
 
 def split(rows: DataFrame, id_cols: list[str], seed: int = SEED, train: float = TRAIN, dev: float = DEV) -> DataFrame:
-    """rows with ``part``: train, dev and test by their number in hash order; sizes are exact, the rest is test."""
+    """rows with ``part``: train, dev and test by their number in hash order; sizes are exact, the rest is test. Rows are written once before they are counted and numbered."""
+    rows = work.written(rows, f"{work.shared_folder(rows.sparkSession, 'split')}/rows")
     placed, n = ranking.numbered(rows, ranking.hash_key(seed, *[F.col(c) for c in id_cols]), *id_cols)
     a, b = int(n * train), int(n * dev)
     return placed.withColumn("part", F.when(F.col("row_no") < a, "train").when(F.col("row_no") < a + b, "dev").otherwise("test"))

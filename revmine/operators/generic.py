@@ -3,7 +3,7 @@
 The phrase table is an input (phrase, cap). Nothing compares every text with every phrase: exact and token
 matches are hash joins, and a phrase can be near only to texts in a band of lengths, so phrases are
 expanded to the lengths of their band and met by an equi-join on length. Texts are reduced to distinct ones
-that are short enough for any phrase before that.
+that are short enough for any phrase before that, and written once for the three ways to match.
 
 Defined cases: null text is an empty text; an empty phrase matches an empty text; repeated phrases count once
 (with the largest cap); an empty phrase table matches nothing.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
+from ..sources import work
 
 # Similarity for texts of about the phrase's length, and for longer ones.
 NEAR, STRICT = 80, 92
@@ -54,7 +55,7 @@ def matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     table = normalised(phrases)
     longest = F.greatest(F.col("m") + F.col("d"), F.floor(F.col("m") * (200 - STRICT) / STRICT).cast("int"))
     bound = table.agg(F.max(F.greatest(longest, F.coalesce("cap", F.lit(0)))).alias("most")).first()["most"] or 0
-    few = texts.filter(F.length("n") <= bound)
+    few = work.written(texts.filter(F.length("n") <= bound), f"{work.shared_folder(texts.sparkSession, 'generic')}/texts")
     exact = few.join(table.select("p"), F.col("n") == F.col("p"), "left_semi")
     worded = few.withColumn("word", F.explode(F.array_distinct(F.split("n", " "))))
     capped = worded.join(table.filter("cap is not null and p <> ''"), (F.col("word") == F.col("p")) & (F.length("n") <= F.col("cap"))).select("n")
