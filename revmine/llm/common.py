@@ -87,6 +87,11 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """A few small rows that stand for much work (files, byte ranges), over all partitions; Spark would coalesce them by their size otherwise."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def worker_cache() -> dict:
     """What one Python worker keeps between tasks."""
     return sys.modules.setdefault("_revmine_worker", types.ModuleType("_revmine_worker")).__dict__

@@ -171,7 +171,7 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
 
-    return ranges(archives, range_bytes).repartition("archive", "start").mapInArrow(task, FIELDS)
+    return common.spread(ranges(archives, range_bytes), "archive", "start").mapInArrow(task, FIELDS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
