@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -31,6 +31,16 @@ def train(examples: DataFrame, text_col: str = "text", label: str = "label", reg
     return Pipeline(stages=[HashingTF(inputCol="__words", outputCol="__features", numFeatures=features), lr]).fit(rows)
 
 
+def losses(model: PipelineModel) -> list[float]:
+    """The loss at the start and after each pass of training."""
+    return list(model.stages[-1].summary.objectiveHistory)
+
+
+def feature_key(text_col: str, features: int = FEATURES) -> Column:
+    """Key of a row's cached features: its text and the settings they depend on."""
+    return text.content_key(text_col, F.lit(f"|{features}"))
+
+
 def score(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with logit0 (0), logit1 (margin) and p_keep."""
     out = model.transform(words(df, text_col))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -14,6 +14,18 @@ def reviews(pulls: DataFrame, files: DataFrame, comments: DataFrame) -> DataFram
     return pulls.join(files, "pr_id").join(placed, ["pr_id", "filename"])
 
 
+def nested(pulls: DataFrame, column: str) -> DataFrame:
+    """A row for each element of an array of structs (files or comments of a pull), with the pull's id; pulls without any give none."""
+    return pulls.select(F.col("id").alias("pr_id"), F.explode(column).alias("one")).select("pr_id", "one.*")
+
+
+def counted(df: DataFrame, keep: Column, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """The rows to keep, and an observation of how many were visited and kept; it is filled by whatever action runs the plan."""
+    seen = Observation(name)
+    watched = df.withColumn("__keep", F.coalesce(keep, F.lit(False))).observe(seen, F.count(F.lit(1)).alias("visited"), F.count_if("__keep").alias("kept"))
+    return watched.filter("__keep").drop("__keep"), seen
+
+
 def orphans(pulls: DataFrame, comments: DataFrame) -> DataFrame:
     """Comments of a pull that stand at no file."""
     return pulls.join(comments.filter("file_path is null"), "pr_id")

@@ -33,6 +33,11 @@ def boost(file: Column, wanted_file: Column | None, labels: Column, wanted_label
     return some(file, wanted_file, FILE_BOOST) + some(labels, wanted_labels, LABEL_BOOST)
 
 
+def combined(similarity: Column, probability: Column) -> Column:
+    """Similarity and probability in one number, for display."""
+    return similarity + probability
+
+
 def ranked(rows: DataFrame, *order: Column, name: str = "place", partition: str = "query_id") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(partition).orderBy(*order)))
 

@@ -123,6 +123,22 @@ def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.from_salvaged(cut, "content", "conv_id long, turn long, text string").select("conv_id", "turn", text.content_key("text").alias("text_key"))
 
 
+@query("SELECT conv_id AS pr_id, turn, role FROM conversations")
+def nested_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that came nested in their pull, as rows."""
+    t = readers.table(spark, sf_dir, "conversations")
+    pulls = t.groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(F.struct("turn", "role")).alias("comments"))
+    return ingest.nested(pulls, "comments")
+
+
+@query(f"WITH {sql.COMMENTS} SELECT count(*) AS visited, count(*) FILTER (length({sql.strip('comment_text')}) >= 5) AS kept FROM c")
+def visited_and_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many comments a scan visited and kept, observed while it ran."""
+    kept, seen = ingest.counted(sql.comments(spark, sf_dir), F.length(text.strip("comment_text")) >= text.SHORTEST)
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["visited"], seen.get["kept"])], "visited long, kept long")
+
+
 @query("WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id::STRING), doc_id) - 1 AS row_no FROM documents) SELECT doc_id, row_no, 'train-' || row_no::STRING AS guid FROM n")
 def hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact row numbers in a seeded hash order, and the names made of them."""

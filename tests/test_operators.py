@@ -221,6 +221,9 @@ def test_classifier_learns_saves_and_loads(spark, tmp_path):
     scored = classify.score(model, df.drop("label")).collect()
     assert all((r["p_keep"] >= 0.5) == bool(r["i"] % 2) for r in scored)
     assert all(r["p_keep"] == pytest.approx(1 / (1 + math.exp(r["logit0"] - r["logit1"]))) for r in scored)
+    assert classify.losses(model)[0] > classify.losses(model)[-1]
+    assert df.select(classify.feature_key("text")).distinct().count() == 60
+    assert df.select(retrieval.combined(F.lit(0.5), F.lit(0.25))).first()[0] == 0.75
     folder = f"file://{tmp_path}"
     assert classify.save_best({"one": model, "two": model}, {"one": 0.9, "two": 0.9}, folder) == "one"
     assert classify.score(classify.load(folder), df).count() == 60
