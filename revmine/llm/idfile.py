@@ -218,7 +218,7 @@ def read(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
             out = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], [id_col, "start", "n_tokens", "ids_crc32", "first_ids"])
             yield from common.in_parts(out, 20_000)
 
-    return shards.select("path", "start").repartition("path").mapInArrow(task, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, first_ids array<long>")
+    return common.spread(shards.select("path", "start"), "path").mapInArrow(task, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, first_ids array<long>")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, bits: bool = False) -> DataFrame:
