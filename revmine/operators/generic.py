@@ -43,35 +43,53 @@ def normalised(phrases: DataFrame) -> DataFrame:
     return phrases.groupBy(text.words_only("phrase").alias("p")).agg(F.max("cap").alias("cap")).withColumn("m", F.length("p")).withColumn("d", slack(F.col("m")))
 
 
-def _scored(pairs: DataFrame, score: Callable[[Column, Column], Column], name: str) -> DataFrame:
-    """pairs(n, p) with score(ratio, token_set_ratio), natively where a side is short enough."""
+def _scored(pairs: DataFrame, longest: int, score: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """pairs(n, p) with score(ratio, token_set_ratio), natively where a side is short enough. longest: characters of the longest phrase."""
     short = F.least(F.length("n"), F.length("p")) <= fuzzy.NATIVE
     native = pairs.filter(short).withColumn(name, score(fuzzy.ratio("n", "p"), fuzzy.token_set_ratio("n", "p")))
+    if longest <= fuzzy.NATIVE:
+        return native
     return native.unionByName(pairs.filter(~short).withColumn(name, score(fuzzy.ratio_long("n", "p"), fuzzy.token_set_ratio_long("n", "p"))))
 
 
-def matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """texts(n: distinct normalised texts) -> (n): those that a phrase makes generic."""
-    table = normalised(phrases)
-    longest = F.greatest(F.col("m") + F.col("d"), F.floor(F.col("m") * (200 - STRICT) / STRICT).cast("int"))
-    bound = table.agg(F.max(F.greatest(longest, F.coalesce("cap", F.lit(0)))).alias("most")).first()["most"] or 0
-    few = work.written(texts.filter(F.length("n") <= bound), f"{work.shared_folder(texts.sparkSession, 'generic')}/texts")
+def reach(table: DataFrame) -> tuple[int, int, int]:
+    """Of a normalised phrase table: the longest text that a phrase can match, the longest phrase, and the largest slack."""
+    most = F.greatest(_longest_text(), F.coalesce("cap", F.lit(0)))
+    row = table.agg(F.max(most).alias("most"), F.max("m").alias("m"), F.max("d").alias("d")).first()
+    return (-1, 0, 0) if row["most"] is None else (row["most"], row["m"], row["d"])
+
+
+def _longest_text() -> Column:
+    return F.greatest(F.col("m") + F.col("d"), F.floor(F.col("m") * (200 - STRICT) / STRICT).cast("int"))
+
+
+def matches(few: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """few(n: distinct normalised texts within reach) and a normalised phrase table -> (n): texts that a phrase makes generic."""
     exact = few.join(table.select("p"), F.col("n") == F.col("p"), "left_semi")
     worded = few.withColumn("word", F.explode(F.array_distinct(F.split("n", " "))))
     capped = worded.join(table.filter("cap is not null and p <> ''"), (F.col("word") == F.col("p")) & (F.length("n") <= F.col("cap"))).select("n")
-    banded = table.withColumn("size", F.explode(F.sequence(F.greatest(F.col("m") - F.col("d"), F.lit(0)), longest)))
+    banded = table.withColumn("size", F.explode(F.sequence(F.greatest(F.col("m") - F.col("d"), F.lit(0)), _longest_text())))
     pairs = few.join(banded, F.length("n") == F.col("size")).select("n", "p", "m", "d")
     typo = F.abs(F.length("n") - F.col("m")) <= F.col("d")
     hit = lambda ratio, by_tokens: F.when(typo, by_tokens >= NEAR).otherwise((F.length("n") > F.col("m") + F.col("d")) & (ratio >= STRICT))
-    near = _scored(pairs, hit, "hit").filter("hit").select("n")
+    near = _scored(pairs, longest, hit, "hit").filter("hit").select("n")
     return exact.select("n").unionByName(capped).unionByName(near).distinct()
 
 
 def with_generic(comments: DataFrame, phrases: DataFrame, text_col: str, name: str = "generic") -> DataFrame:
-    """comments with a boolean column: the text is generic."""
+    """comments with a boolean column: the text is generic.
+
+    Texts beyond the reach of any phrase are not, and are neither shuffled nor joined.
+    """
+    table = normalised(phrases)
+    most, longest, _ = reach(table)
     keyed = comments.withColumn("__n", text.words_only(text_col))
-    found = matches(keyed.select(F.col("__n").alias("n")).distinct(), phrases).withColumn("__hit", F.lit(True))
-    return keyed.join(found, F.col("__n") == F.col("n"), "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__n", "n", "__hit")
+    far = keyed.filter(F.length("__n") > most).withColumn(name, F.lit(False))
+    near = keyed.filter(F.length("__n") <= most)
+    few = work.written(near.select(F.col("__n").alias("n")).distinct(), f"{work.shared_folder(comments.sparkSession, 'generic')}/texts")
+    found = matches(few, table, longest).withColumn("__hit", F.lit(True))
+    judged = near.join(found, F.col("__n") == F.col("n"), "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("n", "__hit")
+    return far.unionByName(judged).drop("__n")
 
 
 def audit(texts: DataFrame, phrases: DataFrame, shortest: int = 3) -> DataFrame:
@@ -81,13 +99,13 @@ def audit(texts: DataFrame, phrases: DataFrame, shortest: int = 3) -> DataFrame:
     A ratio of 80 needs lengths within 2 to 3, so only such pairs are scored; all others are below.
     """
     table = normalised(phrases)
-    reach = table.agg(F.max("d").alias("d")).first()["d"] or 0
+    _, longest, slack_ = reach(table)
     fit = texts.filter(F.length("n") >= shortest)
     low, high = F.ceil(F.col("m") * NEAR / (200 - NEAR)).cast("int"), F.floor(F.col("m") * (200 - NEAR) / NEAR).cast("int")
     banded = table.filter("m > 0").withColumn("size", F.explode(F.sequence(low, high)))
     pairs = fit.join(banded, F.length("n") == F.col("size")).select("n", "p")
-    best = _scored(pairs, lambda ratio, _: ratio, "score").groupBy("n").agg(F.max("score").alias("score")).filter(F.col("score") >= NEAR)
-    lengths = table.select(F.explode(F.sequence(F.greatest(F.col("m") - reach, F.lit(0)), F.col("m") + reach)).alias("size")).distinct().withColumn("close", F.lit(True))
+    best = _scored(pairs, longest, lambda ratio, _: ratio, "score").groupBy("n").agg(F.max("score").alias("score")).filter(F.col("score") >= NEAR)
+    lengths = table.select(F.explode(F.sequence(F.greatest(F.col("m") - slack_, F.lit(0)), F.col("m") + slack_)).alias("size")).distinct().withColumn("close", F.lit(True))
     return best.join(lengths, F.length("n") == F.col("size"), "left").filter((F.col("score") >= STRICT) | F.coalesce("close", F.lit(False))).select("n", "score")
 
 
