@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_SLOTS = 1 << 27
-_SHA, _HASH, _ID = "__sha", "__hash", "__id"
+_SHA, _HASH, _ID, _KEEP, _SIZE = "__sha", "__hash", "__id", "__keep_id", "__group_size"
 
 
 def _slot(hashed: Column, k: int, slots: int) -> Column:
@@ -50,7 +50,7 @@ def with_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _labelled(hashed: DataFrame, max_slots: int, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that cannot repeat, rows that may, with keep_id and group_size of their group).
+    """(rows that cannot repeat, rows that may, with the id that stays and the size of their group).
 
     The groups are written before they are joined, so that Spark can split a group with very many rows, or
     broadcast a small table of groups.
@@ -66,9 +66,9 @@ def _labelled(hashed: DataFrame, max_slots: int, folder: str) -> tuple[DataFrame
         hit = F.call_function("shiftrightunsigned", F.col(f"__b{k}"), at).bitwiseAND(F.lit(1)) == 1
         marked = marked.withColumn(f"__hit{k}", F.coalesce(hit, F.lit(False))).drop(f"__w{k}", f"__b{k}")
     may = F.col("__hit0") & F.col("__hit1")
-    single = marked.filter(~may).drop("__hit0", "__hit1").withColumns({"keep_id": F.col(_ID), "group_size": F.lit(1).cast("long")})
+    single = marked.filter(~may).drop("__hit0", "__hit1").withColumns({_KEEP: F.col(_ID), _SIZE: F.lit(1).cast("long")})
     maybe = marked.filter(may).drop("__hit0", "__hit1")
-    groups = maybe.groupBy(F.col(_SHA).alias("__group")).agg(F.max(_ID).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = maybe.groupBy(F.col(_SHA).alias("__group")).agg(F.max(_ID).alias(_KEEP), F.count(F.lit(1)).alias(_SIZE))
     groups = common.written(groups, folder, "groups")
     return single, maybe.join(groups, F.col(_SHA) == F.col("__group")).drop("__group")
 
@@ -78,14 +78,14 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_s
     folder = common.shared_folder(docs.sparkSession, "exact")
     hashed = common.written(with_hash(docs, id_col, text_col).select(_ID, _SHA, _HASH), folder, "hashes")
     single, repeated = _labelled(hashed, max_slots, folder)
-    return single.unionByName(repeated).select(F.col(_ID).alias(id_col), "keep_id", "group_size", F.col(_ID).eqNullSafe(F.col("keep_id")).alias("kept"), F.col(_SHA).alias("text_sha256"))
+    return single.unionByName(repeated).select(F.col(_ID).alias(id_col), F.col(_KEEP).alias("keep_id"), F.col(_SIZE).alias("group_size"), F.col(_ID).eqNullSafe(F.col(_KEEP)).alias("kept"), F.col(_SHA).alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
     """The rows that stay, with the columns of docs."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     single, repeated = _labelled(with_hash(docs, id_col, text_col), max_slots, common.shared_folder(docs.sparkSession, "exact"))
-    stay = repeated.filter(F.col(_ID).eqNullSafe(F.col("keep_id"))).dropDuplicates([_SHA])
+    stay = repeated.filter(F.col(_ID).eqNullSafe(F.col(_KEEP))).dropDuplicates([_SHA])
     return single.select(own).unionByName(stay.select(own))
 
 

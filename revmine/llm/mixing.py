@@ -76,15 +76,16 @@ def plan(keyed: DataFrame) -> tuple[DataFrame, int]:
 
 
 def decide(keyed: DataFrame, goals: DataFrame, buckets: int) -> DataFrame:
-    """keyed rows with source_size, target, epochs, extra (words of the fractional part) and partly (it has a part)."""
+    """keyed rows with __source_size, __target, __epochs, __extra (words of the fractional part) and __partly (it has a part)."""
+    goals = goals.toDF(*[f"__{c}" for c in goals.columns])
     if goals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)
     rows = keyed.withColumn("__bucket", F.least(F.floor(F.col("__rank") * buckets), F.lit(buckets - 1)))
-    rows = rows.join(goals, F.col("__source").eqNullSafe(F.col("p_source")))
-    plain = rows.filter("__bucket <> end_bucket").withColumn("partly", F.col("__bucket") < F.col("end_bucket")).withColumn("extra", F.when(F.col("partly"), F.col("__size")).otherwise(F.lit(0).cast("long")))
+    rows = rows.join(goals, F.col("__source").eqNullSafe(F.col("__p_source")))
+    plain = rows.filter("__bucket <> __end_bucket").withColumn("__partly", F.col("__bucket") < F.col("__end_bucket")).withColumn("__extra", F.when(F.col("__partly"), F.col("__size")).otherwise(F.lit(0).cast("long")))
     order = Window.partitionBy("__source").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.filter("__bucket = end_bucket").withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
-    last = last.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("left_words") - F.col("__before"))).cast("long")).withColumn("partly", F.col("__before") < F.col("left_words")).drop("__before")
+    last = rows.filter("__bucket = __end_bucket").withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
+    last = last.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__left_words") - F.col("__before"))).cast("long")).withColumn("__partly", F.col("__before") < F.col("__left_words")).drop("__before")
     return plain.unionByName(last)
 
 
@@ -92,15 +93,15 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """Per row: doc_id, size, source_size, target, taken, epochs."""
     keyed = with_keys(docs, id_col, text_col, source_col, seed, weight).select(*_S, "__rank")
     keyed = common.written(keyed, common.shared_folder(docs.sparkSession, "mixing"), "keys")
-    taken = F.col("epochs") * F.col("__size") + F.col("extra")
-    return decide(keyed, *plan(keyed)).select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"), "epochs")
+    taken = F.col("__epochs") * F.col("__size") + F.col("__extra")
+    return decide(keyed, *plan(keyed)).select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__epochs").alias("epochs"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weight: Column | None = None) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch of a document, and one for a fractional part."""
     keyed = with_keys(docs, id_col, text_col, source_col, seed, weight)
     slim = common.written(keyed.select(*_S, "__rank"), common.shared_folder(docs.sparkSession, "mixing"), "keys")
-    copies = (F.col("epochs") + F.col("partly").cast("int")).cast("int")
+    copies = (F.col("__epochs") + F.col("__partly").cast("int")).cast("int")
     chosen = decide(keyed, *plan(slim)).withColumn("__copies", copies).filter("__copies > 0")
     return chosen.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
