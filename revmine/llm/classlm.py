@@ -211,4 +211,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outsi
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return table.select("batch").distinct().repartition("batch").mapInArrow(rate, schema)
+    return wordtable.by_batch(table.select("batch").distinct()).mapInArrow(rate, schema)

@@ -125,5 +125,7 @@ def sums(whole: Numbered, values: np.ndarray) -> np.ndarray:
 
 
 def by_batch(values: DataFrame, *order: str) -> DataFrame:
-    """The rows of each batch together, in order; a batch is of bounded size, so no group is."""
-    return values.repartition(F.col("batch")).sortWithinPartitions("batch", *order)
+    """The rows of each batch together, in order. Batches are of bounded size and are dealt to the partitions in turn, so each gets its share."""
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.shiftright("batch", 24) + F.col("batch").bitwiseAND(F.lit((1 << 24) - 1)) * 7919
+    return values.repartitionById(n, F.pmod(turn, F.lit(n)).cast("int")).sortWithinPartitions("batch", *order)
