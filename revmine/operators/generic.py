@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ PHRASES = [
 
 
 def default_phrases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PHRASES, "phrase string, cap int")
+    phrases, caps = zip(*PHRASES)
+    return spark.createDataFrame(pa.table({"phrase": pa.array(phrases, pa.string()), "cap": pa.array(caps, pa.int32())}))
 
 
 def slack(m: Column) -> Column:
