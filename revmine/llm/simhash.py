@@ -165,9 +165,29 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row of each component, with the columns of docs: that with the least id."""
-    found = label(docs, id_col, text_col, radius, shingle, seed)
-    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__key").alias("key")))
-    keep = common.written(found.groupBy("__root").agg(first.alias("first")).select(F.col("first.key").alias("__keep")), common.shared_folder(docs.sparkSession, "simhash"), "keep")
-    keyed = docs.withColumn("__row_key", row_key(docs, id_col, text_col)).join(keep, F.col("__row_key") == F.col("__keep"), "left_semi")
-    return keyed.dropDuplicates(["__row_key"]).drop("__row_key")
+    """One row of each component, with the columns of docs: that with the least id.
+
+    Whole rows meet only what goes (and rows that repeat as a whole): tables of ids and keys, usually small enough for
+    Spark to broadcast, so that texts need no shuffle.
+    """
+    folder = common.shared_folder(docs.sparkSession, "simhash")
+    found = label(docs, id_col, text_col, radius, shingle, seed).select(F.col(f"`{id_col}`").alias("id"), F.col("__key").alias("key"), F.col("__root").alias("root"))
+    found = common.written(found, folder, "labels")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key")))
+    groups = common.written(found.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), folder, "groups")
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
+    members = found.join(groups, "root").withColumn("stays", stays)
+    removed = common.written(members.filter("NOT stays").select("id", "key").distinct(), folder, "removed")
+    repeated = common.written(members.filter("stays").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "key"), folder, "repeated")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"__row_id": F.col(f"`{id_col}`").cast("long"), "__row_key": row_key(docs, id_col, text_col)})
+
+    def meets(table: DataFrame, how: str) -> DataFrame:
+        named = table.select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+        return keyed.join(named, (F.col("__row_key") == F.col("__key")) & F.col("__row_id").eqNullSafe(F.col("__id")), how)
+
+    keyed = meets(removed, "left_anti")
+    if repeated.isEmpty():
+        return keyed.select(own)
+    once = meets(repeated, "left_semi").dropDuplicates(["__row_id", "__row_key"])
+    return meets(repeated, "left_anti").select(own).unionByName(once.select(own))
