@@ -85,24 +85,28 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, last, value = Trie(scores(shipped.value), [x.encode() for x in added]), None, (0, 0)
-        for rows in batches:
-            coded = rows.column("word").fill_null("").dictionary_encode()
-            found = []
-            for word in coded.dictionary.to_pylist():
-                if word != last:
-                    last, value = word, trie.add(word.encode())
-                found.append(value)
-            at = coded.indices.to_numpy()
-            table = np.array(found, np.int64).reshape(-1, 2)[at]
-            yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("pos"), pa.array(table[:, 1].astype(np.int32)), pa.array(table[:, 0])], ["batch", "pos", "n", "score"])
+
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            nonlocal last, value
+            for rows in batches:
+                coded = rows.column("word").fill_null("").dictionary_encode()
+                values = []
+                for word in coded.dictionary.to_pylist():
+                    if word != last:
+                        last, value = word, trie.add(word.encode())
+                    values.append(value)
+                table = np.array(values, np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
+                yield rows.column("batch").to_numpy(), rows.column("pos").to_numpy(), table[:, 1], table[:, 0]
+
+        yield from wordtable.parcels(found())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in common.runs(batches, "batch"):
             whole = wordtable.unpack(common.read_bytes(wordtable.batch_file(folder, batch)))
-            n, score = (wordtable.sums(whole, rows.column(c).to_numpy().astype(np.float64)[whole.words]) for c in ("n", "score"))
+            n, score = (wordtable.sums(whole, x.astype(np.float64)[whole.words]) for x in wordtable.opened(rows.column("data")))
             out = pa.RecordBatch.from_arrays([pa.array(whole.id_list(), pa.int64()), pa.array(whole.sizes), pa.array(n.astype(np.int64)), pa.array(score / UNIT)], [id_col, "n_words", "n_tokens", "score"])
             yield from common.in_parts(out, 20_000)
 
     words = wordtable.split_batches(slim, lambda: bpe.splitter(added), folder, batch_chars).select("batch", "pos", "word")
-    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(insert, "batch long, pos int, n int, score long")
-    return wordtable.by_batch(counted, "pos").mapInArrow(gather, f"`{id_col}` long, n_words long, n_tokens long, score double")
+    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(insert, "batch long, data binary")
+    return wordtable.by_batch(counted).mapInArrow(gather, f"`{id_col}` long, n_words long, n_tokens long, score double")

@@ -124,6 +124,62 @@ def sums(whole: Numbered, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def squeeze(columns: list[np.ndarray]) -> bytes:
+    """Integer columns of one length as bytes: each in the narrowest width that holds it, byte plane by byte plane; longer ones compressed."""
+    out = [np.array([len(columns[0])], "<u4").tobytes()]
+    for x in columns:
+        most = max(int(x.max(initial=0)), -int(x.min(initial=0)) - 1)
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1)
+        out.append(bytes([width]) + np.ascontiguousarray(x.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+    data = b"".join(out)
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(data) if len(data) > 512 else b"\0" + data
+
+
+def unsqueeze(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:]
+    n, at, out = int(np.frombuffer(data, "<u4", 1)[0]), 4, []
+    while at < len(data):
+        width = data[at]
+        planes = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<i{width}").reshape(n).astype(np.int64))
+        at += 1 + n * width
+    return out
+
+
+def parcels(rows: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(batch, pos, integer values...) columns -> one row (batch, data) for all values of a batch among ``most`` rows."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        batch, *columns = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((columns[0], batch))
+        batch, columns = batch[order], [x[order].astype(np.int64) for x in columns]
+        starts = np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1])))
+        ends = [*starts[1:].tolist(), len(batch)]
+        data = [squeeze([np.diff(columns[0][a:b], prepend=0), *(x[a:b] for x in columns[1:])]) for a, b in zip(starts.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([pa.array(batch[starts]), pa.array(data, pa.binary())], ["batch", "data"])
+
+    for columns in rows:
+        held.append(columns)
+        size += len(columns[0])
+        if size >= most:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def opened(data: pa.ChunkedArray) -> list[np.ndarray]:
+    """The values of a batch by pos, from all its parcels."""
+    parts = [unsqueeze(x.as_py()) for x in data]
+    places = [np.cumsum(steps) for steps, *_ in parts]
+    out = [np.zeros(1 + max((int(p.max(initial=-1)) for p in places), default=-1), np.int64) for _ in parts[0][1:]]
+    for at, (_, *values) in zip(places, parts):
+        for to, x in zip(out, values):
+            to[at[at >= 0]] = x[at >= 0]
+    return out
+
+
 def by_batch(values: DataFrame, *order: str) -> DataFrame:
     """The rows of each batch together, in order. Batches are of bounded size and are dealt to the partitions in turn, so each gets its share."""
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
