@@ -114,6 +114,8 @@ def word_ids(occurrences: DataFrame, vocabulary) -> DataFrame:
             if words:
                 last, last_ids = words[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("pos"), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], ["batch", "pos", "ids"])
+        del encode
+        common.give_back()
 
     return occurrences.select("batch", "pos", "word").repartition("word").sortWithinPartitions("word").mapInArrow(task, "batch long, pos int, ids array<int>")
 
@@ -162,6 +164,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     yield _rows(ids, tokens, texts, id_col)
                     ids, tokens, texts, held = [], [], [], 0
             yield _rows(ids, tokens, texts, id_col)
+            del whole, lists, offsets, values, ids, tokens, texts, piece_of, rows
+            common.give_back()
 
     return wordtable.by_batch(both, "kind", "pos").mapInArrow(task, f"`{id_col}` long, ids array<int>, decoded string")
 

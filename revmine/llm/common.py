@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import types
 import uuid
@@ -97,6 +98,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_revmine_worker", types.ModuleType("_revmine_worker")).__dict__
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside a JVM that needs the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; texts that are all ASCII take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for rows in batches:
             found = [fingerprint(x.as_py().encode(), shingle, seed) for x in rows.column("text")]
             yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("key"), pa.array(found, pa.int64())], ["id", "key", "fp"])
+        common.give_back()
 
     return slim.mapInArrow(task, "id long, key long, fp long")
 
@@ -145,6 +146,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             if found and sum(map(len, found)):
                 tree = forest(np.concatenate(found)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tree[:, 0]), pa.array(tree[:, 1])], ["u", "v"])
+        common.give_back()
 
     return distinct.mapInArrow(spread, "prefix long, fp long").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(collide, "u long, v long")
 

@@ -98,6 +98,8 @@ def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]
             order += 1
             numbers.clear()
             ids, flags, parts, chars = [], [], [], 0
+            del whole, words, sizes, count
+            common.give_back()
             return common.in_parts(rows, 65_536)
 
         for rows in batches:
@@ -112,6 +114,7 @@ def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]
                 chars += len(text)
         if ids:
             yield from flush()
+        common.give_back()
 
     return docs.mapInArrow(task, OCCURRENCES)
 
