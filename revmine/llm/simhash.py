@@ -10,7 +10,8 @@ has the prefix makes the variants that begin with it. With p leading bits that i
 fingerprint instead of 2,081; p grows with the number of fingerprints so that a prefix has about
 PREFIX_VARIANTS variants, and a prefix with more (skewed fingerprints) is cut further, bit by bit, within
 its task, so that memory is bounded. Fingerprints that meet in one variant are within 4 bits of each other,
-so they are linked as a chain, not as all pairs; a task reduces its links to a forest, and the forests'
+so they are linked as a chain, not as all pairs (with an odd radius, whose balls are rounded up, all pairs
+are verified); a task reduces its links to a forest, and the forests'
 links are joined into components.
 
 Defined cases: null or empty text has fingerprint 0 and is linked like any other; repeated rows are rows of
@@ -77,14 +78,19 @@ def _masks(bits: int, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << b for b in c) for c in combinations(range(bits), k)], np.uint64) for k in range(most + 1)]
 
 
+def ball(radius: int) -> int:
+    """Bits that each of two fingerprints may flip so that those within the radius meet."""
+    return (radius + 1) // 2
+
+
 def prefix_bits(n: int, radius: int = RADIUS) -> int:
-    ball = sum(math.comb(BITS, k) for k in range(radius // 2 + 1))
-    return min(40, max(0, math.ceil(math.log2(max(1, n * ball / PREFIX_VARIANTS)))))
+    variants = sum(math.comb(BITS, k) for k in range(ball(radius) + 1))
+    return min(40, max(0, math.ceil(math.log2(max(1, n * variants / PREFIX_VARIANTS)))))
 
 
 def meet(fps: np.ndarray, left: np.ndarray, bits: int, radius: int) -> Iterator[np.ndarray]:
     """Pairs (rows of two) of fps that meet in a variant; left: flips that each may still spend on its low bits."""
-    half = radius // 2
+    half = ball(radius)
     if len(fps) < 2:
         return
     sizes = np.cumsum([math.comb(bits, k) for k in range(half + 1)])
@@ -104,12 +110,28 @@ def meet(fps: np.ndarray, left: np.ndarray, bits: int, radius: int) -> Iterator[
     variant, owner = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(variant)
     variant, owner = variant[order], owner[order]
+    if radius % 2:
+        yield from meet_all(fps, variant, owner, radius)
+        return
     same = np.flatnonzero(variant[1:] == variant[:-1])
     if len(same):
         pairs = np.unique(np.sort(np.stack([fps[owner[same]], fps[owner[same + 1]]], axis=1), axis=1), axis=0)
         yield pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius]
 
 
+def meet_all(fps: np.ndarray, variant: np.ndarray, owner: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Pairs within an odd radius among all owners of a variant, which may be radius + 1 apart, so that neighbours alone do not make the chain."""
+    start = np.flatnonzero(np.concatenate(([True], variant[1:] != variant[:-1])))
+    end = np.repeat(np.append(start[1:], len(variant)), np.diff(np.append(start, len(variant))))
+    at, step = np.arange(len(variant)), 1
+    while len(at := at[at + step < end[at]]):
+        a, b = fps[owner[at]], fps[owner[at + step]]
+        near = np.bitwise_count(a ^ b) <= radius
+        if near.any():
+            yield np.unique(np.sort(np.stack([a[near], b[near]], axis=1), axis=1), axis=0)
+        step += 1
+
+
 def forest(pairs: np.ndarray) -> np.ndarray:
     """The pairs' components as rows (node, least node), roots left out."""
     nodes, at = np.unique(pairs, return_inverse=True)
@@ -127,7 +149,7 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """distinct(fp) -> (u, v): links that join exactly the fingerprints that chains of radius or less join."""
-    p, half = prefix_bits(n, radius), radius // 2
+    p, half = prefix_bits(n, radius), ball(radius)
     flips = np.concatenate(_masks(p, half)) if p else np.zeros(1, np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
