@@ -19,6 +19,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,16 +74,68 @@ def added_tokens(vocabulary: str) -> list[str]:
     return [x["content"] for x in json.loads(vocabulary)["added_tokens"]]
 
 
+def checked(vocabulary: str) -> None:
+    """Words stand alone only under a byte-level pre-tokenizer that cuts by its pattern, without a normalizer or a prefix space."""
+    data = json.loads(vocabulary)
+    cut = data.get("pre_tokenizer") or {}
+    if data.get("normalizer") or data["model"].get("type", "BPE") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError("the vocabulary must be a byte-level BPE without a normalizer or a prefix space")
+
+
 def tokenizer(vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    checked(vocabulary)
     made = Tokenizer.from_str(vocabulary)
     made.no_truncation()
     made.no_padding()
     return made
 
 
+class WordEncoder:
+    """Ids of pre-tokens, many at once: (starts, counts, values); word k has values[starts[k] : starts[k] + counts[k]].
+
+    Words that begin with one space are put after each other into texts of JOINED words, which the pre-tokenizer cuts
+    exactly where they meet; how many bytes each id stands for tells whose it is. Other words are encoded alone.
+    """
+
+    JOINED = 256
+
+    def __init__(self, vocabulary: str):
+        self.encode, known = tokenizer(vocabulary).encode_batch_fast, pieces(vocabulary)
+        self.bytes_of = np.zeros(max(known) + 1, np.int64)
+        self.bytes_of[list(known)] = [len(x) for x in known.values()]
+
+    def _flat(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
+        found = [x.ids for x in self.encode(texts, add_special_tokens=False)]
+        return [len(x) for x in found], np.fromiter(chain.from_iterable(found), np.int32)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        easy = np.fromiter((x[:1] == " " and not x[1:2].isspace() and len(x) > 1 for x in words), bool, len(words))
+        counts, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        together = [words[k] for k in np.flatnonzero(easy).tolist()]
+        values = self._flat(["".join(together[a : a + self.JOINED]) for a in range(0, len(together), self.JOINED)])[1]
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in together), np.int64, len(together)))
+        after = np.cumsum(self.bytes_of[values])
+        last = np.searchsorted(after, ends)
+        if len(after) != (last[-1] + 1 if len(last) else 0) or (after[last] != ends).any():
+            raise ValueError("the vocabulary's pieces do not add up to the text: it is no plain byte-level one")
+        counts[easy] = np.diff(last, prepend=-1)
+        starts[easy] = last + 1 - counts[easy]
+        sizes, more = self._flat([words[k] for k in np.flatnonzero(~easy).tolist()])
+        counts[~easy] = sizes
+        starts[~easy] = len(values) + np.cumsum(sizes, dtype=np.int64) - sizes
+        return starts, counts, np.concatenate([values, more])
+
+
+def gathered(starts: np.ndarray, counts: np.ndarray, values: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sequence of word numbers, one word after the other, and where each word's end."""
+    n = counts[words]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts[words] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 def _bytes_of() -> dict[str, int]:
     """The byte that each character of a byte-level piece stands for."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -105,15 +158,19 @@ def word_ids(occurrences: DataFrame, vocabulary) -> DataFrame:
     """(batch, pos, word) -> (batch, pos, ids); rows are sorted by word, so each distinct word is encoded once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, last_ids = tokenizer(vocabulary.value).encode_batch_fast, None, []
+        encode, last, last_ids = WordEncoder(vocabulary.value), None, np.zeros(0, np.int32)
         for rows in batches:
             coded = rows.column("word").fill_null("").dictionary_encode()
             words = coded.dictionary.to_pylist()
             known = bool(words) and words[0] == last
-            ids = ([last_ids] if known else []) + [x.ids for x in encode(words[known:], add_special_tokens=False)]
+            starts, counts, values = encode(words[known:])
+            if known:
+                starts, counts, values = np.append(len(values), starts), np.append(len(last_ids), counts), np.concatenate([values, last_ids])
             if words:
-                last, last_ids = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("pos"), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], ["batch", "pos", "ids"])
+                last, last_ids = words[-1], values[starts[-1] : starts[-1] + counts[-1]]
+            ids, ends = gathered(starts, counts, values, coded.indices.to_numpy())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("pos"), lists], ["batch", "pos", "ids"])
         del encode
         common.give_back()
 
@@ -122,26 +179,23 @@ def word_ids(occurrences: DataFrame, vocabulary) -> DataFrame:
 
 def _documents(whole: wordtable.Numbered, offsets: np.ndarray, values: np.ndarray) -> Iterator[np.ndarray]:
     """The ids of each document of a batch; word w has values[offsets[w]:offsets[w + 1]]."""
-    at = 0
+    at, counts = 0, np.diff(offsets)
     for size in whole.sizes.tolist():
-        words = whole.words[at : at + size]
+        yield gathered(offsets, counts, values, whole.words[at : at + size])[0]
         at += size
-        counts = offsets[words + 1] - offsets[words]
-        ends = np.cumsum(counts)
-        yield values[np.repeat(offsets[words] - ends + counts, counts) + np.arange(ends[-1] if size else 0)]
 
 
-def _rows(ids: list, tokens: list[np.ndarray], texts: list[str], id_col: str) -> pa.RecordBatch:
+def _rows(ids: pa.Array, tokens: list[np.ndarray], texts: list[str], id_col: str) -> pa.RecordBatch:
     ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
     flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, batch_chars: int = wordtable.BATCH_CHARS) -> DataFrame:
     """Per row of docs: doc_id, ids (array<int>), decoded (the text that the ids give)."""
     spark, vocabulary = docs.sparkSession, vocabulary_text(vocabulary_path)
     folder, shipped, added = common.shared_folder(spark, "bpe"), spark.sparkContext.broadcast(vocabulary), added_tokens(vocabulary)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), common.text_of(docs, text_col).alias("text"), F.lit(False).alias("flag"))
+    slim = docs.select(common.id_of(docs, id_col).alias("id"), common.text_of(docs, text_col).alias("text"), F.lit(False).alias("flag"))
     words = common.written(word_ids(wordtable.split_batches(slim, lambda: splitter(added), folder, batch_chars), shipped), folder, "words")
     used = words.select("batch", F.explode("ids").alias("id")).distinct()
     decoded = used.join(F.broadcast(piece_table(spark, vocabulary)), "id")
@@ -154,27 +208,26 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             piece_of = dict(zip(rows.column("pos").slice(0, n).to_pylist(), rows.column("piece").slice(0, n).to_pylist())).__getitem__
             lists = pa.concat_arrays(rows.column("ids").slice(n).chunks)
             offsets, values = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), lists.flatten().to_numpy()
-            ids, tokens, texts, held = [], [], [], 0
-            for i, found in zip(whole.id_list(), _documents(whole, offsets, values)):
-                ids.append(i)
+            done, tokens, texts, held = 0, [], [], 0
+            for found in _documents(whole, offsets, values):
                 tokens.append(found)
                 texts.append(b"".join(map(piece_of, found.tolist())).decode("utf-8", "replace"))
                 held += len(found)
                 if held > 500_000:
-                    yield _rows(ids, tokens, texts, id_col)
-                    ids, tokens, texts, held = [], [], [], 0
-            yield _rows(ids, tokens, texts, id_col)
-            del whole, lists, offsets, values, ids, tokens, texts, piece_of, rows
+                    yield _rows(whole.ids[done : done + len(texts)], tokens, texts, id_col)
+                    done, tokens, texts, held = done + len(texts), [], [], 0
+            yield _rows(whole.ids[done:], tokens, texts, id_col)
+            del whole, lists, offsets, values, tokens, texts, piece_of, rows
             common.give_back()
 
-    return wordtable.by_batch(both, "kind", "pos").mapInArrow(task, f"`{id_col}` long, ids array<int>, decoded string")
+    return wordtable.by_batch(both, "kind", "pos").mapInArrow(task, f"`{id_col}` {common.id_kind(docs, id_col)}, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary_path: str | None = None, batch_ids: int = 8_000_000) -> DataFrame:
     """Per row of encoded: doc_id, decoded. Null ids count as none; an unknown id is left out, as the library does."""
     spark, vocabulary = encoded.sparkSession, vocabulary_text(vocabulary_path)
     folder = common.shared_folder(spark, "bpe-decode")
-    slim = encoded.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{ids_col}`").cast("array<string>"), F.array().cast("array<string>")).alias("ids"))
+    slim = encoded.select(common.id_of(encoded, id_col).alias("id"), F.coalesce(common.quoted(ids_col).cast("array<string>"), F.array().cast("array<string>")).alias("ids"))
     joined = slim.select("id", F.concat_ws(" ", "ids").alias("text"), F.lit(False).alias("flag"))
     numbers = wordtable.split_batches(joined, lambda: str.split, folder, 4 * batch_ids)
     table = piece_table(spark, vocabulary).select(F.col("id").cast("string").alias("word"), "piece")
@@ -185,12 +238,12 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
             whole = wordtable.unpack(common.read_bytes(wordtable.batch_file(folder, batch)))
             piece_of = [x or b"" for x in rows.column("piece").to_pylist()].__getitem__
             at = 0
-            for i, size in zip(whole.id_list(), whole.sizes.tolist()):
+            for k, size in enumerate(whole.sizes.tolist()):
                 text = b"".join(map(piece_of, whole.words[at : at + size].tolist())).decode("utf-8", "replace")
                 at += size
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([text], pa.string())], [id_col, "decoded"])
+                yield pa.RecordBatch.from_arrays([whole.ids[k : k + 1], pa.array([text], pa.string())], [id_col, "decoded"])
 
-    return wordtable.by_batch(values, "pos").mapInArrow(task, f"`{id_col}` long, decoded string")
+    return wordtable.by_batch(values, "pos").mapInArrow(task, f"`{id_col}` {common.id_kind(encoded, id_col)}, decoded string")
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -70,7 +70,12 @@ def write_bytes(uri: str, data: bytes | Iterator[bytes]) -> int:
         for part in [data] if isinstance(data, bytes) else data:
             out.write(part)
             size += len(part)
-    system.move(draft, path)
+    try:
+        system.move(draft, path)
+    except OSError:
+        if system.get_file_info(path).type != pafs.FileType.File:
+            raise
+        system.delete_file(draft)  # where a move replaces nothing: an earlier attempt of the task has put the same bytes there
     return size
 
 
@@ -111,8 +116,36 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of docs, to be selected beside columns that a step has added."""
+    return [quoted(c) for c in docs.columns]
+
+
+def prefix(docs: DataFrame) -> str:
+    """What no column of docs begins with, for the names of a step's own columns beside them."""
+    found = "__"
+    while any(c.lower().startswith(found) for c in docs.columns):
+        found += "_"
+    return found
+
+
+def id_kind(docs: DataFrame, id_col: str) -> str:
+    """Type of ids in results: long for whole numbers, else that of the column (strings, say)."""
+    kind = docs.select(quoted(id_col)).schema[0].dataType.simpleString()
+    return "long" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+
+
+def id_of(docs: DataFrame, id_col: str) -> Column:
+    return quoted(id_col).cast(id_kind(docs, id_col))
+
+
 def text_of(docs: DataFrame, text_col: str = "text") -> Column:
-    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.coalesce(quoted(text_col).cast("string"), F.lit(""))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:

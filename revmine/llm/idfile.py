@@ -9,15 +9,18 @@ the shards' counts are prefix-summed, so ``start`` needs no pass over the ids.
 Words are encoded through a bounded cache in each worker, so that the tokenizers library meets a word once
 a worker rather than once an occurrence.
 
-Defined cases: null text is an empty text (only the end id); null ids come first; rows that repeat an id
-stand in the order of their texts' hashes; an empty table gives an empty result.
+Defined cases: null text is an empty text (only the end id); a text is encoded whole, in its task's memory, however
+long, and may run over many blocks; ids may be numbers or strings, null ids come first; rows that repeat an id stand in
+the order of their texts' hashes; an empty table gives an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bpe, common
+from . import bpe, common, wordtable
 
 MAGIC, BLOCK_IDS, SHARD_IDS, END_ID = b"RVIDS001", 65_536, 32_000_000, 0
-#: Words that a worker remembers before it starts anew.
+#: Words that a worker remembers before it starts anew (and those of the texts of one call, about 2 MB).
 CACHE_WORDS = 1_000_000
 _FOOTER = "<QQQQQQQ8s"
 
@@ -47,8 +50,8 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b"".join(planes), np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
-def write_shard(uri: str, documents: Iterator[tuple[int | None, bytes]], bits: bool = False, block_ids: int = BLOCK_IDS) -> tuple[int, int, int]:
-    """documents: (id, its ids as little-endian unsigned 32-bit). Gives (documents, ids, bytes)."""
+def write_shard(uri: str, documents: Iterator[tuple[object, bytes]], bits: bool = False, block_ids: int = BLOCK_IDS, kind: pa.DataType | None = None) -> tuple[int, int, int]:
+    """documents: (id of the type kind, its ids as little-endian unsigned 32-bit). Gives (documents, ids, bytes)."""
     names, counts, index, packer, state = [], [], [], zstandard.ZstdCompressor(level=3), [len(MAGIC), 0]
 
     def block(data: bytes) -> bytes:
@@ -73,7 +76,7 @@ def write_shard(uri: str, documents: Iterator[tuple[int | None, bytes]], bits: b
                 held, size = [whole[size - size % most :]], size % most
         if size:
             yield block(b"".join(held))
-        docs = packer.compress(np.array([x or 0 for x in names], "<i8").tobytes() + np.array([x is not None for x in names], np.uint8).tobytes() + np.array(counts, "<i8").tobytes())
+        docs = packer.compress(np.array(counts, "<i8").tobytes() + wordtable.stream_of(pa.array(names, kind)))
         chunks = packer.compress(np.array(index, "<i8").tobytes())
         yield docs
         yield chunks
@@ -97,8 +100,7 @@ class Shard:
         unpack = zstandard.ZstdDecompressor().decompress
         raw = unpack(self.file.read(docs))
         n = self.n_docs
-        self.names = [i if k else None for i, k in zip(np.frombuffer(raw, "<i8", n).tolist(), raw[8 * n : 9 * n])]
-        self.counts = np.frombuffer(raw, "<i8", n, 9 * n)
+        self.counts, self.names = np.frombuffer(raw, "<i8", n), wordtable.array_of(raw[8 * n :])
         self.chunks = np.frombuffer(unpack(self.file.read(chunks)), "<i8").reshape(blocks, -1)
 
     def block(self, k: int) -> bytes:
@@ -114,10 +116,10 @@ class Shard:
             raise ValueError(f"block {k} fails its CRC-32")
         return data
 
-    def documents(self) -> Iterator[tuple[int | None, int, list[memoryview]]]:
+    def documents(self) -> Iterator[tuple[object, int, list[memoryview]]]:
         """(id, number of ids, the ids' bytes in parts), block after block."""
         k, data, at = -1, memoryview(b""), 0
-        for name, count in zip(self.names, self.counts.tolist()):
+        for name, count in zip(self.names.to_pylist(), self.counts.tolist()):
             need, found = 4 * count, []
             while need:
                 if at == len(data):
@@ -131,21 +133,30 @@ class Shard:
 
 
 class CachedEncoder:
-    """texts -> ids as bytes, through a bounded table of words met before."""
+    """texts -> ids as bytes, through a bounded table of words met before: a word costs one lookup, and a new one the encoder once."""
 
     def __init__(self, vocabulary: str):
-        self.cut, self.encode, self.known = bpe.splitter(bpe.added_tokens(vocabulary)), bpe.tokenizer(vocabulary).encode_batch_fast, {}
+        self.cut, self.encode = bpe.splitter(bpe.added_tokens(vocabulary)), bpe.WordEncoder(vocabulary)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: defaultdict = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.starts, self.counts, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.numbers) > CACHE_WORDS:
+            self.clear()
         words = [self.cut(x) for x in texts]
-        new = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set().union(*words))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.known.update(zip(part, (struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.encode(part, add_special_tokens=False))))
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+        known, sizes = len(self.numbers), np.array([len(x) for x in words], np.int64)
+        flat = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        if len(self.numbers) > known:
+            starts, counts, values = self.encode(list(islice(self.numbers, known, None)))
+            self.starts, self.counts, self.values = np.append(self.starts, starts + len(self.values)), np.append(self.counts, counts), np.append(self.values, values)
+        ids, ends = bpe.gathered(self.starts, self.counts, self.values, flat)
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(sizes))].tolist()
+        data = ids.astype("<u4")
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def encoder(vocabulary: str) -> CachedEncoder:
@@ -158,14 +169,16 @@ def encoder(vocabulary: str) -> CachedEncoder:
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, end_id: int = END_ID, bits: bool = False, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode, append end_id to each document, and write shards in ascending id order: (part, shard, path, start, n_docs, n_ids, bytes)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(bpe.vocabulary_text(vocabulary_path))
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), common.text_of(docs, text_col).alias("text"))
+    slim = docs.select(common.id_of(docs, id_col).alias("id"), common.text_of(docs, text_col).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part = encoder(vocabulary.value), struct.pack("<I", end_id), TaskContext.get().partitionId()
+        encode, end, part, kind = encoder(vocabulary.value), struct.pack("<I", end_id), TaskContext.get().partitionId(), None
 
-        def documents() -> Iterator[tuple[int | None, bytes]]:
+        def documents() -> Iterator[tuple[object, bytes]]:
+            nonlocal kind
             held, chars = [], 0
             for rows in batches:
+                kind = rows.column(0).type
                 for i, text in zip(rows.column(0).to_pylist(), rows.column(1)):
                     held.append((i, text.as_py()))
                     chars += len(held[-1][1])
@@ -179,7 +192,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         while first is not None:
             rest: list = []
 
-            def taken(first=first, rest=rest) -> Iterator[tuple[int | None, bytes]]:
+            def taken(first=first, rest=rest) -> Iterator[tuple[object, bytes]]:
                 size = 0
                 while first is not None:
                     if size and size + len(first[1]) > 4 * shard_ids:
@@ -190,7 +203,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                     first = next(coming, None)
 
             path = f"{folder}/shards/{part:07d}-{shard:05d}.ids"
-            n_docs, n_ids, size = write_shard(path, taken(), bits)
+            n_docs, n_ids, size = write_shard(path, taken(), bits, kind=kind)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, shard, path, n_docs, n_ids, size)], ["part", "shard", "path", "n_docs", "n_ids", "bytes"])
             first, shard = (rest[0] if rest else None), shard + 1
 
@@ -200,13 +213,14 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     return shards.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
-def read(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, first_ids (up to 8)."""
+def read(shards: DataFrame, id_col: str = "doc_id", id_kind: str = "long") -> DataFrame:
+    """Per document, from the files: doc_id (of the type id_kind), start, n_tokens, ids_crc32, first_ids (up to 8)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (x for rows in batches for x in rows.to_pylist()):
             names, starts, counts, crcs, heads, start = [], [], [], [], [], row["start"]
-            for name, count, parts in Shard(row["path"]).documents():
+            shard = Shard(row["path"])
+            for name, count, parts in shard.documents():
                 crc, head = 0, []
                 for part in parts:
                     crc = zlib.crc32(part, crc)
@@ -215,11 +229,11 @@ def read(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 for to, x in zip((names, starts, counts, crcs, heads), (name, start, count, crc, head)):
                     to.append(x)
                 start += count
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], [id_col, "start", "n_tokens", "ids_crc32", "first_ids"])
+            out = pa.RecordBatch.from_arrays([pa.array(names, shard.names.type), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], [id_col, "start", "n_tokens", "ids_crc32", "first_ids"])
             yield from common.in_parts(out, 20_000)
 
-    return common.spread(shards.select("path", "start"), "path").mapInArrow(task, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, first_ids array<long>")
+    return common.spread(shards.select("path", "start"), "path").mapInArrow(task, f"`{id_col}` {id_kind}, start long, n_tokens long, ids_crc32 long, first_ids array<long>")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, bits: bool = False) -> DataFrame:
-    return read(write(docs, common.shared_folder(docs.sparkSession, "idfile"), id_col, text_col, vocabulary_path, bits=bits), id_col)
+    return read(write(docs, common.shared_folder(docs.sparkSession, "idfile"), id_col, text_col, vocabulary_path, bits=bits), id_col, common.id_kind(docs, id_col))

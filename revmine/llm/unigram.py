@@ -81,7 +81,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of docs: doc_id, n_words (pre-tokens), n_tokens, score (natural log of the best segmentation)."""
     spark, vocabulary = docs.sparkSession, bpe.vocabulary_text(vocabulary_path)
     folder, shipped, added = common.shared_folder(spark, "unigram"), spark.sparkContext.broadcast(vocabulary), bpe.added_tokens(vocabulary)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), common.text_of(docs, text_col).alias("text"), F.lit(False).alias("flag"))
+    slim = docs.select(common.id_of(docs, id_col).alias("id"), common.text_of(docs, text_col).alias("text"), F.lit(False).alias("flag"))
 
     def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, last, value = Trie(scores(shipped.value), [x.encode() for x in added]), None, (0, 0)
@@ -104,9 +104,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch, rows in common.runs(batches, "batch"):
             whole = wordtable.unpack(common.read_bytes(wordtable.batch_file(folder, batch)))
             n, score = (wordtable.sums(whole, x.astype(np.float64)[whole.words]) for x in wordtable.opened(rows.column("data")))
-            out = pa.RecordBatch.from_arrays([pa.array(whole.id_list(), pa.int64()), pa.array(whole.sizes), pa.array(n.astype(np.int64)), pa.array(score / UNIT)], [id_col, "n_words", "n_tokens", "score"])
+            out = pa.RecordBatch.from_arrays([whole.ids, pa.array(whole.sizes), pa.array(n.astype(np.int64)), pa.array(score / UNIT)], [id_col, "n_words", "n_tokens", "score"])
             yield from common.in_parts(out, 20_000)
 
     words = wordtable.split_batches(slim, lambda: bpe.splitter(added), folder, batch_chars).select("batch", "pos", "word")
     counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(insert, "batch long, data binary")
-    return wordtable.by_batch(counted).mapInArrow(gather, f"`{id_col}` long, n_words long, n_tokens long, score double")
+    return wordtable.by_batch(counted).mapInArrow(gather, f"`{id_col}` {common.id_kind(docs, id_col)}, n_words long, n_tokens long, score double")

@@ -30,8 +30,7 @@ OCCURRENCES = "batch long, pos int, word string, n long"
 class Numbered(NamedTuple):
     """A batch: its documents in order, and the words' numbers one document after the other."""
 
-    ids: np.ndarray
-    known: np.ndarray
+    ids: pa.Array
     flags: np.ndarray
     sizes: np.ndarray
     words: np.ndarray
@@ -40,26 +39,35 @@ class Numbered(NamedTuple):
     def ends(self) -> np.ndarray:
         return np.cumsum(self.sizes)
 
-    def id_list(self) -> list[int | None]:
-        return [i if k else None for i, k in zip(self.ids.tolist(), self.known.tolist())]
-
 
 def pack(b: Numbered) -> bytes:
     planes = np.ascontiguousarray(b.words.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    head = np.array([len(b.ids), len(b.words)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b.ids.astype("<i8").tobytes() + b.known.astype(np.uint8).tobytes() + b.flags.astype(np.uint8).tobytes() + b.sizes.astype("<i8").tobytes() + planes.tobytes())
+    ids = stream_of(b.ids)
+    head = np.array([len(b.ids), len(b.words), len(ids)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + ids + b.flags.astype(np.uint8).tobytes() + b.sizes.astype("<i8").tobytes() + planes.tobytes())
 
 
 def unpack(data: bytes) -> Numbered:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n, m = np.frombuffer(raw, "<i8", 2).tolist()
-    at = 16
-    ids = np.frombuffer(raw, "<i8", n, at)
-    known = np.frombuffer(raw, np.uint8, n, at + 8 * n)
-    flags = np.frombuffer(raw, np.uint8, n, at + 9 * n)
-    sizes = np.frombuffer(raw, "<i8", n, at + 10 * n)
-    planes = np.frombuffer(raw, np.uint8, 4 * m, at + 18 * n).reshape(4, m)
-    return Numbered(ids, known.astype(bool), flags.astype(bool), sizes, np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32))
+    n, m, size = np.frombuffer(raw, "<i8", 3).tolist()
+    at = 24 + size
+    flags = np.frombuffer(raw, np.uint8, n, at)
+    sizes = np.frombuffer(raw, "<i8", n, at + n)
+    planes = np.frombuffer(raw, np.uint8, 4 * m, at + 9 * n).reshape(4, m)
+    return Numbered(array_of(raw[24:at]), flags.astype(bool), sizes, np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32))
+
+
+def stream_of(values: pa.Array) -> bytes:
+    """An array of any type as bytes (an Arrow stream)."""
+    rows, sink = pa.record_batch([values], ["v"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def array_of(data: bytes) -> pa.Array:
+    (rows,) = pa.ipc.open_stream(data)
+    return rows.column(0)
 
 
 def batch_file(folder: str, batch: int) -> str:
@@ -74,7 +82,7 @@ def _strings(words: list) -> pa.Array:
 
 
 def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], folder: str, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """docs(id long, text string, flag boolean) -> a row for each distinct word of each batch.
+    """docs(id of any type, text string, flag boolean) -> a row for each distinct word of each batch.
 
     split() makes the splitter in the worker. n counts the word's occurrences in flagged documents.
     A batch without words still gives one row (pos -1, word null), so that its documents are not lost.
@@ -84,13 +92,13 @@ def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]
         cut, pid, order = split(), TaskContext.get().partitionId(), 0
         numbers: defaultdict = defaultdict()
         numbers.default_factory = numbers.__len__
-        ids, flags, parts, chars = [], [], [], 0
+        ids, flags, parts, chars, kind = [], [], [], 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal order, chars, ids, flags, parts
             sizes = np.array([len(x) for x in parts], np.int64)
             words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            whole = Numbered(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool), np.array(flags, bool), sizes, words)
+            whole = Numbered(pa.array(ids, kind), np.array(flags, bool), sizes, words)
             batch = (pid << 24) | order
             common.write_bytes(batch_file(folder, batch), pack(whole))
             count = np.bincount(words[np.repeat(whole.flags, sizes)], minlength=len(numbers))
@@ -103,6 +111,7 @@ def split_batches(docs: DataFrame, split: Callable[[], Callable[[str], list[str]
             return common.in_parts(rows, 65_536)
 
         for rows in batches:
+            kind = rows.column(0).type
             for i, text, flag in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
                 text = text.as_py() or ""
                 if ids and chars + len(text) > batch_chars:
