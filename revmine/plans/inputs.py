@@ -1,7 +1,8 @@
 """Review data made from the given tables, as expressions that Spark and DuckDB both take, and pieces of twin SQL.
 
 Documents serve as comments and diffs: each gets, by its id, one of the shapes that the operators tell apart
-(approvals, thanks, suggestion blocks, code references, questions, symbols, long prose).
+(approvals, thanks, suggestion blocks, code references, questions, symbols, long prose). Beside that comment, each document's
+whole text is a comment of its own, so that every comment query sees every text from its first to its last character.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from ..sources import readers
 
 COMMENT = """CASE doc_id % 16
  WHEN 0 THEN 'LGTM!'
- WHEN 1 THEN 'Thanks, ' || substr(text, 1, 60)
- WHEN 2 THEN 'nit: ' || substr(text, 1, 30)
+ WHEN 1 THEN 'Thanks, ' || text
+ WHEN 2 THEN 'nit: ' || text
  WHEN 3 THEN 'Could you rename this to `' || lang || '_name`?'
  WHEN 4 THEN text || chr(10) || '```suggestion' || chr(10) || ' int ' || source || ' = ' || CAST(doc_id AS STRING) || '; ' || chr(10) || '```'
  WHEN 5 THEN '```Suggestion (applies)' || chr(10) || lang || '::run();' || chr(10) || '```' || chr(10) || 'or' || chr(10) || '```suggestion' || chr(10) || '```'
  WHEN 6 THEN ' +1 '
  WHEN 7 THEN '!!! ' || chr(9) || '...'
  WHEN 8 THEN 'Why not use ' || lang || '.' || source || '() here'
- WHEN 9 THEN 'Good catch, ' || substr(text, 1, 200)
+ WHEN 9 THEN 'Good catch, ' || text
  WHEN 10 THEN 'makes sens'
  WHEN 11 THEN 'Fixed  in ' || source
  WHEN 12 THEN 'thank you!!'
@@ -36,11 +37,17 @@ DIFF = """CASE doc_id % 7 WHEN 0 THEN text
  ELSE '@@ -1 +1 @@' || chr(10) || '+' || text END"""
 
 
+#: Ids of the comments that are whole documents begin here; their diffs are short.
+WHOLE = 1_000_000_000
+WHOLE_DIFF = "'@@ -1 +1 @@' || chr(10) || '+' || source"
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(comment_id, pr_number, commenter, filename, labels, diff_text, comment_text, suggestion_text)."""
     docs = readers.table(spark, sf_dir, "documents")
     made = docs.select(F.col("doc_id").alias("comment_id"), F.expr("doc_id % 97").alias("pr_number"), F.col("source").alias("commenter"), F.expr(FILENAME).alias("filename"), F.expr(LABELS).alias("labels"), F.expr(DIFF).alias("diff_text"), F.expr(COMMENT).alias("comment_text"))
-    return made.withColumn("suggestion_text", text.suggestion("comment_text"))
+    whole = docs.select((F.col("doc_id") + WHOLE).alias("comment_id"), F.expr("doc_id % 97").alias("pr_number"), F.col("source").alias("commenter"), F.expr(FILENAME).alias("filename"), F.expr(LABELS).alias("labels"), F.expr(WHOLE_DIFF).alias("diff_text"), F.col("text").alias("comment_text"))
+    return made.unionByName(whole).withColumn("suggestion_text", text.suggestion("comment_text"))
 
 
 def quoted(value: str) -> str:
@@ -99,7 +106,8 @@ def ratio(a: str, pattern: str) -> str:
 
 
 #: Comments in DuckDB: table c.
-COMMENTS = f"""c0 AS (SELECT doc_id AS comment_id, doc_id % 97 AS pr_number, source AS commenter, {FILENAME} AS filename, {LABELS} AS labels, {DIFF} AS diff_text, {COMMENT} AS comment_text FROM documents),
+COMMENTS = f"""c0 AS (SELECT doc_id AS comment_id, doc_id % 97 AS pr_number, source AS commenter, {FILENAME} AS filename, {LABELS} AS labels, {DIFF} AS diff_text, {COMMENT} AS comment_text FROM documents
+ UNION ALL SELECT doc_id + {WHOLE}, doc_id % 97, source, {FILENAME}, {LABELS}, {WHOLE_DIFF}, text FROM documents),
 c AS (SELECT *, {suggestion('comment_text')} AS suggestion_text FROM c0)"""
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diff, text
 from ..operators import generic
 from ..sources import readers
 from . import inputs as sql
-from .registry import ORACLES, query
+from .registry import query
 
 _S = sql.strip("comment_text")
 _PHRASES = ", ".join(f"({sql.quoted(p)}, {'NULL' if cap is None else cap})" for p, cap in generic.PHRASES)
@@ -126,7 +126,7 @@ def control_char_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", (F.length("t") - F.length(text.without_controls("t"))).alias("removed"), text.content_key(text.without_controls("t")).alias("cleaned"))
 
 
-_PREFIXED = "'[FILE]' || filename || ' [LABEL]' || labels || ' ' || substr(comment_text, 1, 50)"
+_PREFIXED = "'[FILE]' || filename || ' [LABEL]' || labels || ' ' || comment_text"
 _REGEX = sql.quoted(rf"(?s)^\[FILE\](.*?)[{text.SPACE}]+\[LABEL\](.*?)[{text.SPACE}]+(.*)")
 
 
@@ -137,22 +137,12 @@ SELECT comment_id, CASE WHEN ok THEN {sql.strip(f'regexp_extract(t, {_REGEX}, 1)
   CASE WHEN tagged AND len(w) >= 3 THEN w[1] ELSE '(unknown)' END AS split_file, CASE WHEN tagged AND len(w) >= 3 THEN replace(w[2], '[LABEL]', '') ELSE '' END AS split_label,
   md5(CASE WHEN tagged AND len(w) >= 3 THEN array_to_string(list_slice(w, 3, len(w)), ' ') ELSE t END) AS split_payload FROM q""")
 def prefix_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File and label tags, built and parsed again in both ways."""
-    return _tags_parsed(sql.comments(spark, sf_dir), F.substring("comment_text", 1, 50))
-
-
-def _tags_parsed(c: DataFrame, body: Column) -> DataFrame:
-    t = c.select("comment_id", F.when(F.expr("comment_id % 9 = 0"), F.col("comment_text")).otherwise(text.with_prefix("filename", "labels", body)).alias("t"))
+    """File and label tags, built around whole comments and parsed again in both ways."""
+    t = sql.comments(spark, sf_dir).select("comment_id", F.when(F.expr("comment_id % 9 = 0"), F.col("comment_text")).otherwise(text.with_prefix("filename", "labels", "comment_text")).alias("t"))
     a, b = text.parse_prefix("t"), text.split_prefix("t")
     return t.select("comment_id", a["file"].alias("file"), a["label"].alias("label"), text.content_key(a["payload"]).alias("payload"), b["file"].alias("split_file"), b["label"].alias("split_label"), text.content_key(b["payload"]).alias("split_payload"))
 
 
-@query(ORACLES["prefix_parsing"].replace(_PREFIXED, _PREFIXED.replace("substr(comment_text, 1, 50)", "comment_text")))
-def prefix_parsing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over whole comment texts."""
-    return _tags_parsed(sql.comments(spark, sf_dir), F.col("comment_text"))
-
-
 @query(f"""WITH {sql.COMMENTS} SELECT comment_id, substr(string_split(comment_text, chr(10))[1], 1, 120) AS first_line, substr(replace(comment_text, chr(10), ' '), 1, 200) AS preview, md5(array_to_string(list_slice(string_split(diff_text, chr(10)), 1, 20), chr(10))) AS first_lines, md5(replace(comment_text, chr(10), ' {text.MARK} ')) AS one_line FROM c""")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = sql.comments(spark, sf_dir)
