@@ -2,36 +2,49 @@
 
 Queries are taken in blocks of a bounded size; a block is broadcast, every partition of the corpus multiplies
 its Arrow batches with it (one BLAS call a batch) and keeps the k nearest of each query, and only those,
-at most partitions x queries x k rows, are shuffled and ranked. Rows of the corpus never move.
+at most partitions x queries x k rows, are shuffled and ranked. Rows of the corpus never move. Where there are
+several blocks, one is searched and its results are written before the next is fetched, so the driver holds one
+block at a time. ``ann`` has an index that leaves most of the corpus out.
 Distances are rounded to 9 decimals before they are ranked, ties go to the smaller id.
 
-Defined cases: null vectors and vectors of another length than the longest query's are neither queries nor candidates; a zero vector has cosine
-distance 1 to everything; fewer than k rows give fewer results.
+Defined cases: ids may be numbers or strings; a null id or vector is neither query nor candidate; a query meets the
+vectors of its own length only, so lengths may be mixed; a zero vector has cosine distance 1 to everything; fewer
+than k rows give fewer results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import work
+
 #: Bytes of a query block that is broadcast, and of a distance matrix that one step makes.
 BLOCK_BYTES, MATRIX_CELLS = 64 << 20, 4 << 20
 DIGITS = 9
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def id_of(df: DataFrame, name: str) -> tuple[Column, str]:
+    """An id column, whole numbers as long, and its type."""
+    kind = df.select(name).schema[0].dataType.simpleString()
+    kind = "long" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+    return F.col(name).cast(kind), kind
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    return column.to_numpy() if pa.types.is_integer(column.type) else np.array(column.to_pylist(), object)
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that hold a vector of the width, the vectors)."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    width = int(sizes.max()) if width is None and len(sizes) else width or 0
     rows = np.flatnonzero(sizes == width)
     flat = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return rows, np.nan_to_num(flat.reshape(len(rows), width)) if len(rows) else np.zeros((0, width))
+    return rows, np.nan_to_num(flat.reshape(len(rows), width))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,9 +61,9 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def _nearest(query: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_of(query: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of candidates (query, id, distance) the k nearest of each query, ties by id."""
-    order = np.lexsort((ids, far, query))
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, far, query))
     query, ids, far = query[order], ids[order], far[order]
     starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, int)
     rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
@@ -58,31 +71,70 @@ def _nearest(query: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tup
     return query[near], ids[near], far[near]
 
 
-def _block(corpus: DataFrame, queries: list, k: int, metric: str, matched: bool) -> DataFrame:
-    spark = corpus.sparkSession
-    names = np.array([q["query_id"] for q in queries], np.int64)
-    vectors = np.array([q["query_vector"] for q in queries], np.float64)
+def closest(far: np.ndarray, k: int) -> np.ndarray:
+    """far with all but the k least of each row (and their ties) at infinity."""
+    return far if far.shape[1] <= k else np.where(far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k], far, np.inf)
+
+
+def _block(corpus: DataFrame, kinds: tuple[str, str], queries: list, k: int, metric: str, matched: bool) -> DataFrame:
+    names = [q["query_id"] for q in queries]
+    widths: dict[int, list[int]] = {}
+    for i, q in enumerate(queries):
+        widths.setdefault(len(q["query_vector"]), []).append(i)
+    vectors = {w: (np.array(at), np.nan_to_num(np.array([queries[i]["query_vector"] for i in at], np.float64))) for w, at in widths.items()}
     groups = np.array([q["query_match"] or "" for q in queries], object) if matched else None
-    shipped = spark.sparkContext.broadcast((names, vectors, groups))
+    shipped = corpus.sparkSession.sparkContext.broadcast((names, vectors, groups))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors, groups = shipped.value
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        kept, kind = None, None
         step = max(1, MATRIX_CELLS // max(1, len(names)))
         for batch in (b for rows in batches for b in (rows.slice(a, step) for a in range(0, rows.num_rows, step))):
-            rows, found = _matrix(batch.column("vector"), vectors.shape[1])
-            if not len(rows):
-                continue
-            far, ids = distances(vectors, found, metric), batch.column("id").to_numpy()[rows]
-            if groups is not None:
-                same = groups[:, None] == np.array(batch.column("match").fill_null("").to_pylist(), object)[rows][None]
-                far = np.where(same, far, np.inf)
-            near = far if far.shape[1] <= k else np.where(far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k], far, np.inf)
-            q, c = np.nonzero(np.isfinite(near))
-            kept = _nearest(*(np.concatenate(x) for x in zip(kept, (q, ids[c], far[q, c]))), k)
-        yield pa.RecordBatch.from_arrays([pa.array(names[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["query_id", "id", "distance"])
-
-    return corpus.mapInArrow(task, "query_id long, id long, distance double")
+            all_ids, kind = ids_of(batch.column("id")), batch.column("id").type
+            if kept is None:
+                kept = (np.zeros(0, np.int64), np.zeros(0, all_ids.dtype), np.zeros(0))
+            for width, (at, asked) in vectors.items():
+                rows, found = _matrix(batch.column("vector"), width)
+                if not len(rows):
+                    continue
+                far, ids = distances(asked, found, metric), all_ids[rows]
+                if groups is not None:
+                    same = groups[at][:, None] == np.array(batch.column("match").fill_null("").to_pylist(), object)[rows][None]
+                    far = np.where(same, far, np.inf)
+                near = closest(far, k)
+                q, c = np.nonzero(np.isfinite(near))
+                kept = nearest_of(*(np.concatenate(x) for x in zip(kept, (at[q], ids[c], far[q, c]))), k)
+        if kept is not None:
+            query_kind = pa.int64() if names and isinstance(names[0], int) else pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in kept[0].tolist()], query_kind), pa.array(kept[1].tolist(), kind), pa.array(kept[2])], ["query_id", "id", "distance"])
+
+    return corpus.mapInArrow(task, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+
+
+def in_blocks(queries: DataFrame, cost: Column, block_bytes: int, search: Callable[[list], DataFrame], purpose: str) -> DataFrame | None:
+    """search() over queries (with a column query_id), in blocks whose cost adds up to about block_bytes each.
+
+    A single block's result is left lazy; of several, each is written before the next block is fetched.
+    """
+    size, spark = queries.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0], queries.sparkSession
+    blocks, path = -(-size // block_bytes), None
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
+        if not part:
+            continue
+        found = search(part)
+        if blocks == 1:
+            return found
+        path = path or f"{work.shared_folder(spark, purpose)}/blocks"
+        found.write.mode("append").parquet(path)
+    return spark.read.parquet(path) if path else None
+
+
+def picked(df: DataFrame, id_col: str, vector_col: str, match: str | None, prefix: str = "") -> tuple[DataFrame, str]:
+    """(id, vector, match) of the rows with an id and a vector, and the id's type."""
+    name, kind = id_of(df, id_col)
+    columns = [name.alias(f"{prefix}id"), F.col(vector_col).alias(f"{prefix}vector"), *([F.col(match).cast("string").alias(f"{prefix}match")] if match else [])]
+    return df.select(columns).filter(f"{prefix}id is not null and size({prefix}vector) > 0"), kind
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "vec_id", metric: str = "cosine", match: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -90,14 +142,11 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
 
     match names a column that must be equal on both sides (null counts as '').
     """
-    picked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector_col).alias("query_vector"), *([F.col(match).cast("string").alias("query_match")] if match else [])).filter("query_id is not null and size(query_vector) > 0")
-    slim = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), *([F.col(match).cast("string").alias("match")] if match else [])).filter("id is not null")
-    row = picked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("width")).first()
-    picked = picked.filter(F.size("query_vector") == (row["width"] or 0))
-    blocks = -(-row["n"] * (row["width"] or 0) * 8 // block_bytes)
-    empty = corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double")
-    parts = [_block(slim, part, k, metric, match is not None) for b in range(blocks) if (part := picked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect())]
-    near = reduce(DataFrame.unionByName, parts) if parts else empty
+    asked, query_kind = picked(queries, query_id, vector_col, match, "query_")
+    slim, kind = picked(corpus, id_col, vector_col, match)
+    near = in_blocks(asked, F.size("query_vector") * 8, block_bytes, lambda part: _block(slim, (query_kind, kind), part, k, metric, match is not None), "knn")
+    if near is None:
+        near = corpus.sparkSession.createDataFrame([], f"query_id {query_kind}, id {kind}, distance double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
 
 
