@@ -39,9 +39,5 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work.shared_folder(spark, "stream-windows")
     e = readers.table(spark, sf_dir, "events")
     counts = index.windowed_counts(index.source(spark, f"{sf_dir}/events*.parquet", e), "ts", "event_type")
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/windows")
-
-    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/windows").select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "key", "n")
+    index.keep_changes(counts, f"{folder}/windows", f"{folder}/checkpoint").awaitTermination()
+    return index.latest(spark, f"{folder}/windows", "window", "key").select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "key", "n")
