@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|^[ \t]*#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S | re.M)
 _TOKEN = re.compile(r"[A-Za-z_]\w*|::|\d[\w.]*|[{}();,=~:<>\[\]]|[^\s\w]")
@@ -78,6 +78,7 @@ def declarations(code: str) -> Iterator[tuple[int, str, str]]:
     """(depth, kind, name), outer before inner."""
     pending: list[str] = []
     scopes: list[tuple[str, str]] = []  # (kind of scope, name)
+    named_after: list[bool] = []  # whether a typedef's name follows the scope
     tokens = _TOKEN.findall(_NOISE.sub(" ", code or ""))
     at, parens = 0, 0
 
@@ -91,8 +92,17 @@ def declarations(code: str) -> Iterator[tuple[int, str, str]]:
         if first == "namespace":
             yield depth, "NAMESPACE", names[1] if len(names) > 1 else ""
             return
-        if first == "typedef" and names:
-            yield depth, "TYPEDEF_DECL", names[-1]
+        if first == "typedef" and not opens and names:
+            pointed = [piece[k + 2] for k in range(len(piece) - 2) if piece[k : k + 2] == ["(", "*"] and piece[k + 2] in names]
+            yield depth, "TYPEDEF_DECL", pointed[0] if pointed else names[-1]
+            return
+        if first == "typedef":  # of a type that is declared in place; its name comes after the body
+            piece = piece[1:]
+        if first == "for" and "(" in piece:
+            head = piece[piece.index("(") + 1 :]
+            ends = [head.index(t) for t in (";", ":") if t in head]
+            if ends and (name := _declared(head[: min(ends)])) is not None:
+                yield depth, "VAR_DECL", name
             return
         if first == "using" and "=" in piece and len(names) > 1:
             yield depth, "TYPE_ALIAS_DECL", names[1]
@@ -139,11 +149,13 @@ def declarations(code: str) -> Iterator[tuple[int, str, str]]:
                 at = end
             scope = {v: k for k, v in _TYPES.items()}.get(kind, "namespace" if kind == "NAMESPACE" else "file" if kind == "ENUM_DECL" else "function")
             scopes.append((scope, name))
+            named_after.append(pending[:1] == ["typedef"])
             pending, parens = [], 0
         elif t == "}":
+            pending, parens = [], 0
             if scopes:
                 scopes.pop()
-            pending, parens = [], 0
+                pending = ["typedef"] if named_after.pop() else []
         elif t == ";" and parens <= 0:
             yield from header(pending, False)
             pending, parens = [], 0
@@ -181,12 +193,10 @@ def related_projection(code):
     return code.map(related)
 
 
-@F.udtf(returnType=StructType().add("depth", IntegerType()).add("kind", StringType()).add("name", StringType()))
-class DeclarationRows:
-    """Table function: a row for each declaration."""
-
-    def eval(self, code: str | None):
-        yield from declarations(code or "")
+@F.pandas_udf(ArrayType(StructType().add("depth", IntegerType()).add("kind", StringType()).add("name", StringType())))
+def found(code):
+    """Column of arrays with a (depth, kind, name) for each declaration."""
+    return code.map(lambda c: list(declarations(c or "")))
 
 
 def gated(code: Column, wanted: Column) -> Column:

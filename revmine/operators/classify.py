@@ -7,6 +7,7 @@ sigmoid(2m), so logits are written as (0, m).)
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import evaluate
+from . import evaluate, ingest
 
 FEATURES, PASSES, REGULAR = 1 << 14, 20, 0.001
 
@@ -41,6 +42,24 @@ def feature_key(text_col: str, features: int = FEATURES) -> Column:
     return text.content_key(text_col, F.lit(f"|{features}"))
 
 
+def cached_features(df: DataFrame, path: str, text_col: str = "text", features: int = FEATURES) -> DataFrame:
+    """df with key, features (a vector) and hit: whether the cache at path had them. Features of keys that it lacks are computed once a key and added."""
+    keyed = df.withColumn("key", feature_key(text_col, features))
+    try:
+        cache = df.sparkSession.read.parquet(path)
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        cache = None
+    known = cache.select("key") if cache is not None else keyed.select("key").limit(0)
+    new = ingest.not_indexed(keyed.select("key", F.col(text_col).alias("__text")), known, "key")
+    made = HashingTF(inputCol="__words", outputCol="features", numFeatures=features).transform(words(new, "__text")).select("key", "features")
+    number = 0 if cache is None else cache.agg(F.max("number")).first()[0] + 1
+    made.withColumn("number", F.lit(number)).write.mode("append").parquet(path)
+    whole = df.sparkSession.read.parquet(path).select("key", "features", (F.col("number") < number).alias("hit"))
+    return keyed.join(whole, "key")
+
+
 def score(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with logit0 (0), logit1 (margin) and p_keep."""
     out = model.transform(words(df, text_col))

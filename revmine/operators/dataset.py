@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,33 +34,51 @@ def positives(records: DataFrame, copies: int = SUGGESTION_COPIES, window: int =
     return rows.select("record_id", "window_no", "one.copy_no", F.lit(1).alias("label"), "pr_number", "commenter", text.with_prefix("fn", "lb", "window_text").alias("diff"), "one.comment")
 
 
-def negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED, shown: int = 16) -> DataFrame:
+def negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED) -> DataFrame:
     """For every positive a pair with the same diff and the comment of a random positive of another review.
 
     Rows are numbered in hash order; a row draws a number, and draws again while the row there is of its own
-    review, so partners are uniform over the others. A round is a join on unique numbers, whatever the skew.
-    Raises if there is one review only.
+    review, so partners are uniform over the others. A round is a join on unique numbers, whatever the skew. Rows of a
+    review that has more than half of all rows draw among the rows of the others, numbered by themselves, so that
+    each round settles at least half of what is open. Raises if there is one review only.
     """
     folder = work.shared_folder(rows.sparkSession, "negatives")
     rows = work.written(rows, f"{folder}/rows")
     if rows.select("pr_number").distinct().limit(2).count() < 2:
         raise ValueError("negatives need rows of two reviews at least")
-    placed, n = ranking.numbered(rows, ranking.hash_key(seed, *[F.col(c) for c in id_cols]), *id_cols)
+    key = ranking.hash_key(seed, *[F.col(c) for c in id_cols])
+    placed, n = ranking.numbered(rows, key, *id_cols)
     placed = work.written(placed, f"{folder}/numbered")
-    partner = placed.select(F.col("row_no").alias("j"), F.col("pr_number").alias("other"), F.col("commenter").alias("theirs"), F.col("comment").alias("said"))
-    open_, done, k = placed.select(*id_cols, "pr_number", "diff", "row_no"), [], 0
+    largest = placed.groupBy("pr_number").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("pr_number", "n").alias("pr"), F.max("n").alias("n")).first()
+    shown, done, k = [*id_cols, "pr_number", "diff", "row_no"], [], 0
+
+    def drawn(open_: DataFrame, among: DataFrame, size: int, k: int) -> DataFrame:
+        j = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(f"{seed}n{k}"), F.col("row_no").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long"), F.lit(size))
+        partner = among.select(F.col("row_no").alias("j"), F.col("pr_number").alias("other"), F.col("commenter").alias("theirs"), F.col("comment").alias("said"))
+        return work.written(open_.withColumn("j", j).join(partner, "j"), f"{folder}/round-{len(done)}")
+
+    def settle(met: DataFrame) -> None:
+        done.append(met.select(*id_cols, F.lit(0).alias("label"), "pr_number", F.col("theirs").alias("commenter"), "diff", F.col("said").alias("comment")))
+
+    open_ = placed.select(shown)
+    if 2 * largest["n"] > n:
+        others, size = ranking.numbered(rows.filter(F.col("pr_number") != largest["pr"]), key, *id_cols)
+        settle(drawn(open_.filter(F.col("pr_number") == largest["pr"]), work.written(others, f"{folder}/others"), size, 0))
+        open_ = open_.filter(F.col("pr_number") != largest["pr"])
     while True:
-        drawn = open_.withColumn("j", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(f"{seed}n{k}"), F.col("row_no").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long"), F.lit(n)))
-        met = work.written(drawn.join(partner, "j"), f"{folder}/round-{k}")
-        fits = F.col("other") != F.col("pr_number")
-        done.append(met.filter(fits).select(*id_cols, F.lit(0).alias("label"), "pr_number", F.col("theirs").alias("commenter"), "diff", F.col("said").alias("comment")))
-        open_, k = met.filter(~fits).select(*id_cols, "pr_number", "diff", "row_no"), k + 1
+        met, fits = drawn(open_, placed, n, k), F.col("other") != F.col("pr_number")
+        settle(met.filter(fits))
+        open_, k = met.filter(~fits).select(shown), k + 1
         if open_.isEmpty():
             break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, done)
+
+
+def with_negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED) -> DataFrame:
+    """Positives (written once) and a negative for each, with the columns that both have."""
+    rows = work.written(rows, f"{work.shared_folder(rows.sparkSession, 'both')}/rows")
+    shown = [*id_cols, "label", "pr_number", "commenter", "diff", "comment"]
+    return rows.select(shown).unionByName(negatives(rows, id_cols, seed).select(shown))
 
 
 def split(rows: DataFrame, id_cols: list[str], seed: int = SEED, train: float = TRAIN, dev: float = DEV) -> DataFrame:

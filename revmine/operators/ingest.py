@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -58,10 +58,11 @@ def cached(docs: DataFrame, cache: DataFrame, text_col: str) -> DataFrame:
 
 
 def upserted(cache: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    """The latest row of each key of both tables."""
-    both = cache.unionByName(new)
-    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
-    return both.withColumn("__latest", latest).filter("__latest = 1").drop("__latest")
+    """The latest row of each key of both tables; of equal versions a new row replaces a cached one. Maxima are combined before the shuffle, so a key with very many rows is no hot group."""
+    row = F.struct(*[F.col(f"`{c}`") for c in cache.columns])
+    rank = lambda side: F.struct(F.col(f"`{version}`"), F.lit(side))
+    both = cache.select(row.alias("row"), rank(0).alias("rank")).unionByName(new.select(cache.columns).select(row.alias("row"), rank(1).alias("rank")))
+    return both.groupBy(F.col(f"row.`{key}`").alias("key")).agg(F.max_by("row", "rank").alias("row")).select("row.*")
 
 
 def of_pull(pulls: DataFrame, files: DataFrame, number: str | int) -> DataFrame:

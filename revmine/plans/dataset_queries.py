@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import declarations, diff, text
-from ..operators import classify, dataset, generic
-from ..sources import readers
+from ..operators import classify, dataset, generic, knn, retrieval
+from ..sources import readers, work
 from . import inputs as sql
 from .registry import query
 from .text_queries import _GENERIC_CTE
@@ -35,10 +35,6 @@ def make_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _positives(spark, sf_dir).select(*_IDS, "label", "pr_number", "commenter", text.content_key("diff").alias("diff_key"), text.content_key("comment").alias("comment_key"))
 
 
-def _draw(k: int) -> str:
-    return f"('0x' || substr(md5('42n{k}-' || i.row_no::STRING), 1, 13))::BIGINT % (SELECT count(*) FROM num)"
-
-
 @query(f"""WITH {_POSITIVES}, num AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}, record_id, window_no, copy_no) - 1 AS row_no FROM pos),
 dr AS (SELECT record_id, window_no, copy_no, pr_number, diff, row_no, unnest(range(0, 12)) AS k FROM num),
 jj AS (SELECT i.*, ('0x' || substr(md5('42n' || k::STRING || '-' || i.row_no::STRING), 1, 13))::BIGINT % (SELECT count(*) FROM num) AS j FROM dr AS i),
@@ -99,22 +95,68 @@ def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classifier_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of a small grid of runs on the held-out part."""
-    rows = dataset.split(_labelled(spark, sf_dir), ["doc_id"]).select("doc_id", "text", "label", "part").persist()
+    folder = work.shared_folder(spark, "sweep")
+    rows = work.written(dataset.split(_labelled(spark, sf_dir), ["doc_id"]).select("doc_id", "text", "label", "part"), f"{folder}/rows")
     return classify.sweep(rows.filter("part = 'train'"), rows.filter("part <> 'train'"), classify.grid([0.001, 0.1], [10], [1 << 12]))
 
 
-_CODE = "CASE doc_id % 4 WHEN 0 THEN 'namespace ' || lang || ' { class ' || source || ' : public Base { public: ' || source || '(int a); int size() const { int n = 1; return n; } double ratio, w; }; }' WHEN 1 THEN 'static int ' || source || '(const char *p, unsigned n) { for (int i = 0; i < n; ++i) { call(p); } return 0; } // ' || lang WHEN 2 THEN 'typedef struct point { int x; int y; } point; enum color { red, green = 3 }; using id = int; template <typename T> T first(T a);' ELSE text END"
+_CODE = """CASE doc_id % 4 WHEN 0 THEN 'namespace ' || lang || ' { class ' || source || ' : public Base { public: ' || source || '(int a); int size() const { int n = 1; return n; } double ratio, w; }; }'
+ WHEN 1 THEN 'static int ' || source || '(const char *p, unsigned n) { for (int i = 0; i < n; ++i) { call(p); } return 0; } // ' || lang
+ WHEN 2 THEN 'typedef struct node { int x; int y; } point; enum color { red, green = 3 }; using id = int; template <typename T> T first(T a);'
+ ELSE '/* ' || replace(text, '*/', '') || ' */ int ' || source || ' = 1;' END"""
+#: What the shapes of _CODE declare, worked out by hand: (shape, place, depth, kind, name); the names of the language and the source stand for themselves.
+_DECLARED = """VALUES (0, 1, 0, 'NAMESPACE', 'lang'), (0, 2, 1, 'CLASS_DECL', 'source'), (0, 3, 2, 'CONSTRUCTOR', 'source'), (0, 4, 3, 'PARM_DECL', 'a'), (0, 5, 2, 'CXX_METHOD', 'size'),
+ (0, 6, 3, 'VAR_DECL', 'n'), (0, 7, 2, 'FIELD_DECL', 'ratio'), (0, 8, 2, 'FIELD_DECL', 'w'),
+ (1, 1, 0, 'FUNCTION_DECL', 'source'), (1, 2, 1, 'PARM_DECL', 'p'), (1, 3, 1, 'PARM_DECL', 'n'), (1, 4, 1, 'VAR_DECL', 'i'),
+ (2, 1, 0, 'STRUCT_DECL', 'node'), (2, 2, 1, 'FIELD_DECL', 'x'), (2, 3, 1, 'FIELD_DECL', 'y'), (2, 4, 0, 'TYPEDEF_DECL', 'point'), (2, 5, 0, 'ENUM_DECL', 'color'), (2, 6, 1, 'ENUM_CONSTANT_DECL', 'red'),
+ (2, 7, 1, 'ENUM_CONSTANT_DECL', 'green'), (2, 8, 0, 'TYPE_ALIAS_DECL', 'id'), (2, 9, 0, 'FUNCTION_DECL', 'first'), (2, 10, 1, 'PARM_DECL', 'a'), (3, 1, 0, 'VAR_DECL', 'source')"""
+_ROWS = f"d AS (SELECT doc_id, place, depth, kind, CASE name WHEN 'lang' THEN lang WHEN 'source' THEN source ELSE name END AS name FROM documents JOIN ({_DECLARED}) AS v(shape, place, depth, kind, name) ON doc_id % 4 = shape)"
 
 
-@query()
+@query(f"""WITH {_ROWS}, p AS (SELECT doc_id, string_agg('(' || kind || ':' || name || ')', ' ' ORDER BY place) AS projection, string_agg('(CursorKind.' || kind || ':' || name || ')', ' ' ORDER BY place) AS related FROM d GROUP BY doc_id)
+SELECT doc_id, CASE WHEN regexp_matches(lower({sql.FILENAME}), '\\.(?:c|cc|cpp|h|hpp)$') THEN projection ELSE '' END AS projection, related FROM p JOIN documents USING (doc_id)""")
 def declaration_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations of C-family code as text, behind the suffix gate."""
     d = readers.table(spark, sf_dir, "documents").select("doc_id", F.expr(sql.FILENAME).alias("filename"), F.expr(_CODE).alias("code"))
     return d.select("doc_id", declarations.gated(F.col("code"), text.is_c_family("filename")).alias("projection"), declarations.related_projection(F.col("code")).alias("related"))
 
 
-@query()
+@query(f"WITH {_ROWS} SELECT doc_id, depth, kind, name FROM d")
 def declaration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as rows (depth, kind, name), by a table function."""
+    """The same as rows (depth, kind, name)."""
     d = readers.table(spark, sf_dir, "documents").select("doc_id", F.expr(_CODE).alias("code"))
-    return d.lateralJoin(declarations.DeclarationRows(F.col("code").outer())).select("doc_id", "depth", "kind", "name")
+    return d.select("doc_id", F.inline(declarations.found("code")))
+
+
+@query(f"""WITH {_POSITIVES}, num AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}, record_id, window_no, copy_no) - 1 AS row_no FROM pos),
+dr AS (SELECT record_id, window_no, copy_no, pr_number, row_no, unnest(range(0, 12)) AS k FROM num),
+jj AS (SELECT i.*, ('0x' || substr(md5('42n' || k::STRING || '-' || i.row_no::STRING), 1, 13))::BIGINT % (SELECT count(*) FROM num) AS j FROM dr AS i),
+ok AS (SELECT jj.*, p.comment AS said, row_number() OVER (PARTITION BY jj.row_no ORDER BY k) AS nth FROM jj JOIN num AS p ON p.row_no = jj.j WHERE p.pr_number <> jj.pr_number),
+u AS (SELECT record_id, window_no, copy_no, 1 AS label, comment FROM pos UNION ALL SELECT record_id, window_no, copy_no, 0, said FROM ok WHERE nth = 1),
+z AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || record_id::STRING || '-' || window_no::STRING || '-' || copy_no::STRING || '-' || label::STRING), record_id, window_no, copy_no, label) - 1 AS row_no, count(*) OVER () AS n FROM u)
+SELECT record_id, window_no, copy_no, label, md5(comment) AS comment_key, row_no, CASE WHEN row_no < floor(n * 0.8) THEN 'train' WHEN row_no < floor(n * 0.8) + floor(n * 0.1) THEN 'dev' ELSE 'test' END AS part FROM z""")
+def split_with_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives and negatives together, in hash order, cut 80 : 10 : 10."""
+    rows = dataset.with_negatives(_positives(spark, sf_dir), _IDS)
+    return dataset.split(rows, [*_IDS, "label"]).select(*_IDS, "label", text.content_key("comment").alias("comment_key"), "row_no", "part")
+
+
+@query(f"""WITH k AS (SELECT doc_id, md5(text || '|{classify.FEATURES}') AS key FROM documents), h AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
+SELECT doc_id, key, key IN (SELECT key FROM h) AS hit FROM k""")
+def feature_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all documents, from a cache that the even ones have filled; the others are computed and added."""
+    path, d = f"{work.shared_folder(spark, 'features')}/cache", readers.table(spark, sf_dir, "documents").select("doc_id", "text")
+    classify.cached_features(d.filter("doc_id % 2 = 0"), path)
+    return classify.cached_features(d, path).select("doc_id", "key", "hit")
+
+
+@query()
+def recommender_with_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recommender's gate by a trained P(keep): ten times k neighbours, filters, classifier, first hits, 15 best."""
+    model = classify.train(_labelled(spark, sf_dir))
+    c = generic.with_generic(sql.comments(spark, sf_dir), generic.default_phrases(spark), "comment_text").withColumn("payload", text.payload("comment_text", "suggestion_text"))
+    e = readers.table(spark, sf_dir, "embeddings")
+    near = knn.nearest(e, e.filter("vec_id % 50 = 0"), 15 * retrieval.FETCH_FEEDBACK)
+    met = classify.score(model, near.join(c, F.col("id") == F.col("comment_id")), "payload")
+    kept = retrieval.first_hits(met, F.col("payload"), text.keep_for_retrieval("comment_text", "suggestion_text", F.col("generic")) & (F.col("p_keep") >= retrieval.P_KEEP))
+    return retrieval.ranked(kept, F.asc("rank")).filter("place <= 15").select("query_id", "id", F.round("p_keep", 6).alias("p_keep"), "place")

@@ -44,6 +44,7 @@ def sheets(tables: dict[str, DataFrame], folder: str) -> None:
         clean.write.mode("overwrite").csv(f"{folder}/{name}", header=True, escape='"')
 
 
+# The layouts of the readable blocks below.
 def block(number: Column, tag: Column, pull: Column, file: Column, labels: Column, window: Column, comment: Column) -> Column:
     """A readable block: heading, file, label, diff and comment."""
     head = F.format_string("===== %s (PR %s • window #%s) =====", tag, pull.cast("string"), number.cast("string"))
@@ -75,7 +76,7 @@ def index(rows: DataFrame, path: str, rebuild: bool = False) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def metrics(run_lines: DataFrame, path: str) -> None:

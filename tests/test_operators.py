@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from revmine.functions import declarations, fuzzy
-from revmine.operators import classify, dataset, encode, evaluate, generic, ingest, knn, ranking, retrieval, tfidf
+from revmine.operators import ann, classify, dataset, encode, evaluate, generic, ingest, knn, ranking, retrieval, tfidf
 
 
 def longest(a, b):
@@ -99,6 +99,57 @@ def test_nearest_matches_brute_force(spark, metric, monkeypatch):
     assert knn.nearest(df, df.filter("false"), 3).collect() == [] and knn.nearest(df.filter("false"), asked, 3).collect() == []
 
 
+def test_nearest_takes_string_ids_and_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    vectors = {f"k{i:03d}": rng.standard_normal(4 if i % 3 else 6).tolist() for i in range(90)}
+    df = spark.createDataFrame(list(vectors.items()), "id string, embedding array<double>").repartition(4)
+    asked = df.filter("id LIKE '%7'")
+    want = []
+    for q in [r["id"] for r in asked.collect()]:
+        same = {i: v for i, v in vectors.items() if len(v) == len(vectors[q])}
+        want += [(a, b, d) for a, b, _, d in brute(same, [q], 5, "cosine")]
+    for size in (1 << 20, 100):
+        got = knn.nearest(df, asked, 5, id_col="id", query_id="id", block_bytes=size).collect()
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_index_finds_nine_in_ten_and_all_with_all_cells(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = e.filter("vec_id % 50 = 0")
+    want = {(r["query_id"], r["id"]) for r in knn.nearest(e, q, 10).collect()}
+    index = ann.build(e)
+    assert index.rows.count() == e.count() and 1 <= index.probes <= len(index.centres) and len(index.centres) > 10
+    found = {(r["query_id"], r["id"]) for r in ann.search(index, q, 10).collect()}
+    assert len(found & want) >= 0.9 * len(want)
+    whole = ann.search(index, q, 10, probes=len(index.centres), block_bytes=5000)
+    assert {(r["query_id"], r["id"]) for r in whole.collect()} == want
+    rng = np.random.default_rng(3)  # with clusters, few cells do
+    centre = rng.standard_normal((25, 16))
+    rows = spark.createDataFrame([(i, (centre[i % 25] + 0.15 * rng.standard_normal(16)).tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    index, q_ = ann.build(rows), rows.filter("vec_id % 50 = 0")
+    want = {(r["query_id"], r["id"]) for r in knn.nearest(rows, q_, 10).collect()}
+    found = {(r["query_id"], r["id"]) for r in ann.search(index, q_, 10).collect()}
+    assert len(found & want) >= 0.9 * len(want) and index.probes <= len(index.centres) // 4
+    none = e.filter("false")
+    assert ann.search(ann.build(none), q, 3).collect() == [] and ann.search(index, none, 3).collect() == []
+
+
+def test_new_rows_replace_cached_ones_of_their_version(spark):
+    cache = spark.createDataFrame([("a", 1, "old"), ("b", 5, "old"), (None, 1, "old")], "key string, version int, value string")
+    new = spark.createDataFrame([("new", 1, "a"), ("new", 4, "b"), ("new", 2, None), ("new", 1, "c")], "value string, version int, key string")
+    got = {r["key"]: (r["version"], r["value"]) for r in ingest.upserted(cache, new, "key", "version").collect()}
+    assert got == {"a": (1, "new"), "b": (5, "old"), None: (2, "new"), "c": (1, "new")}
+
+
+def test_features_come_from_the_cache_once_they_are_there(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, "a b a"), (4, None)], "i int, text string")
+    first = classify.cached_features(df.filter("i <= 1"), f"{tmp_path}/cache").collect()
+    again = {r["i"]: (r["hit"], r["features"]) for r in classify.cached_features(df, f"{tmp_path}/cache").collect()}
+    assert not first[0]["hit"] and {i: h for i, (h, _) in again.items()} == {1: True, 2: False, 3: True, 4: False}
+    assert again[1][1] == again[3][1] == first[0]["features"] and again[1][1].values.sum() == 3
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == 3
+
+
 def test_filtered_search_falls_back(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "b"), (3, [0.0, 1.0], "a")], "vec_id long, embedding array<double>, place string")
     q = spark.createDataFrame([(10, [1.0, 0.1], "b"), (11, [1.0, 0.1], "zzz"), (12, [1.0, 0.1], None)], df.schema)

@@ -74,3 +74,16 @@ def test_index_stream_adds_each_key_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/index").collect()) == ["a", "b", "c"]
     index.count_feedback(index.source(spark, f"{tmp_path}/in", like), "id", f"{tmp_path}/counts", f"{tmp_path}/three").awaitTermination()
     assert {r["key"]: r["fav_count"] for r in index.latest_counts(spark, f"{tmp_path}/counts").collect()} == {"a": 1, "b": 2, "c": 2}
+
+
+def test_a_relational_store_is_read_by_a_query_in_parts(spark):
+    """An embedded store in this JVM stands for a server."""
+    url, driver = "jdbc:derby:memory:reviews;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no embedded store at hand")
+    spark.range(100).selectExpr("id", "CAST(id % 7 AS INT) AS pr").write.mode("overwrite").format("jdbc").options(url=url, dbtable="notes", driver=driver).save()
+    parts = {"partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4"}
+    got = readers.database(spark, url, 'SELECT * FROM notes WHERE "id" < 90', driver=driver, **parts)
+    assert got.rdd.getNumPartitions() == 4 and sorted(r[0] for r in got.collect()) == list(range(90))
