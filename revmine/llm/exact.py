@@ -1,92 +1,69 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass 1 hashes every normalised text, counts hits a filter slot (two slots a text) and keeps the slots hit
-twice. Pass 2 tests each row: only rows whose two slots were both hit twice can repeat, so only those
-shuffle, to be grouped by their SHA-256; all others pass straight through. A slot never misses a repeat;
-a false positive only shuffles one row more.
-
-The filter has 16 slots a row up to ``max_slots``; what is broadcast is its 64-slot words with a slot hit
-twice, so at most max_slots / 64 rows of two longs. Beyond max_slots / 16 rows the filter lets more
-unique rows through to the shuffle, and in the limit this is a plain group-by; results stay the same.
-
-Defined cases: null text is an empty text; an empty table gives an empty result; a null doc_id stays only
-where its group has no other; rows repeated with the id that stays are all marked kept (``dedup``
-leaves one of them). Other columns pass through untouched.
+The normalised texts' SHA-256 are written once, without the texts. Pass 1 puts their 64-bit hashes into a filter
+(``bloom``) and keeps the slots that were hit twice. Pass 2 tests each row: only rows whose slots were all hit twice
+can repeat, so only those shuffle, to be grouped by their SHA-256; all others pass straight through. A slot
+never misses a repeat; a false positive only shuffles one row more.
+
+The filter has 16 slots a row up to ``max_slots``, so at most max_slots / 64 rows of two longs are broadcast.
+Beyond max_slots / 16 rows the filter lets more unique rows through to the shuffle, and in the limit this is a
+plain group-by of the slim rows; results stay the same.
+
+Defined cases: null text is an empty text; a text is hashed whole, however long; an empty table gives an empty
+result; a null doc_id stays only where its group has no other; rows repeated with the id that stays are all marked
+kept (``dedup`` leaves one of them). Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common, rows
 
-MAX_SLOTS = 1 << 27
-_SHA, _HASH, _ID, _KEEP, _SIZE = "__sha", "__hash", "__id", "__keep_id", "__group_size"
+MAX_SLOTS = bloom.MAX_SLOTS
 
 
-def _slot(hashed: Column, k: int, slots: int) -> Column:
-    return (hashed if k == 0 else F.shiftrightunsigned(hashed, 32)).bitwiseAND(F.lit(slots - 1))
+def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, sha, hash): key tells rows with different id or text apart, sha is of the normalised text."""
+    text = common.text_of(docs, text_col)
+    sha = F.sha2(common.lower_ascii(text).cast("binary"), 256)
+    return docs.select(common.quoted(id_col).alias("id"), rows.row_key(docs, id_col, text_col).alias("key"), sha.alias("sha")).withColumn("hash", F.xxhash64("sha"))
 
 
-def slots_for(n: int, max_slots: int = MAX_SLOTS) -> int:
-    slots = 1 << 16
-    while slots < 16 * n and slots < max_slots:
-        slots *= 2
-    return min(slots, 1 << 31)
-
-
-def repeated_filter(hashes: DataFrame, slots: int) -> DataFrame:
-    """hashes(__hash long) -> (word, bits): the words of the filter with slots that were hit twice or more."""
-    hit = hashes.select(F.explode(F.array(_slot(F.col(_HASH), 0, slots), _slot(F.col(_HASH), 1, slots))).alias("slot"))
-    twice = hit.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bit = F.expr("shiftleft(1L, int(slot & 63))")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-
-
-def with_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    sha = F.sha2(common.lower_ascii(common.text_of(docs, text_col)).cast("binary"), 256)
-    return docs.withColumns({_ID: F.col(f"`{id_col}`"), _SHA: sha}).withColumn(_HASH, F.xxhash64(_SHA))
-
-
-def _labelled(hashed: DataFrame, max_slots: int, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that cannot repeat, rows that may, with the id that stays and the size of their group).
+def labelled(hashed: DataFrame, max_slots: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that cannot repeat, rows that may), with keep_id, the id that stays, and the size of their group.
 
     The groups are written before they are joined, so that Spark can split a group with very many rows, or
     broadcast a small table of groups.
     """
-    keys = hashed.select(_HASH)
-    slots = slots_for(keys.count(), max_slots)
-    words = F.broadcast(repeated_filter(keys, slots))
-    marked = hashed
-    for k in (0, 1):
-        side = words.select(F.col("word").alias(f"__w{k}"), F.col("bits").alias(f"__b{k}"))
-        marked = marked.join(side, F.shiftright(_slot(F.col(_HASH), k, slots), 6) == F.col(f"__w{k}"), "left")
-        at = _slot(F.col(_HASH), k, slots).bitwiseAND(F.lit(63)).cast("int")
-        hit = F.call_function("shiftrightunsigned", F.col(f"__b{k}"), at).bitwiseAND(F.lit(1)) == 1
-        marked = marked.withColumn(f"__hit{k}", F.coalesce(hit, F.lit(False))).drop(f"__w{k}", f"__b{k}")
-    may = F.col("__hit0") & F.col("__hit1")
-    single = marked.filter(~may).drop("__hit0", "__hit1").withColumns({_KEEP: F.col(_ID), _SIZE: F.lit(1).cast("long")})
-    maybe = marked.filter(may).drop("__hit0", "__hit1")
-    groups = maybe.groupBy(F.col(_SHA).alias("__group")).agg(F.max(_ID).alias(_KEEP), F.count(F.lit(1)).alias(_SIZE))
-    groups = common.written(groups, folder, "groups")
-    return single, maybe.join(groups, F.col(_SHA) == F.col("__group")).drop("__group")
+    slots = bloom.slots_for(hashed.count(), max_slots)
+    marked = bloom.marked(hashed, F.col("hash"), bloom.hit_twice(hashed, "hash", slots), slots, "may")
+    single = marked.filter("NOT may").drop("may").withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long")})
+    maybe = marked.filter("may").drop("may")
+    groups = common.written(maybe.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), folder, "groups")
+    return single, maybe.join(groups, "sha")
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
     folder = common.shared_folder(docs.sparkSession, "exact")
-    hashed = common.written(with_hash(docs, id_col, text_col).select(_ID, _SHA, _HASH), folder, "hashes")
-    single, repeated = _labelled(hashed, max_slots, folder)
-    return single.unionByName(repeated).select(F.col(_ID).alias(id_col), F.col(_KEEP).alias("keep_id"), F.col(_SIZE).alias("group_size"), F.col(_ID).eqNullSafe(F.col(_KEEP)).alias("kept"), F.col(_SHA).alias("text_sha256"))
+    hashed = common.written(hashes(docs, id_col, text_col).drop("key"), folder, "hashes")
+    single, repeated = labelled(hashed, max_slots, folder)
+    return single.unionByName(repeated).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
-    """The rows that stay, with the columns of docs."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    single, repeated = _labelled(with_hash(docs, id_col, text_col), max_slots, common.shared_folder(docs.sparkSession, "exact"))
-    stay = repeated.filter(F.col(_ID).eqNullSafe(F.col(_KEEP))).dropDuplicates([_SHA])
-    return single.select(own).unionByName(stay.select(own))
+    """The rows that stay, with the columns of docs. All is decided on the slim rows; of the texts themselves only rows that go can need a shuffle (``rows.without``)."""
+    folder = common.shared_folder(docs.sparkSession, "exact")
+    hashed = common.written(hashes(docs, id_col, text_col), folder, "hashes")
+    repeated = common.written(labelled(hashed, max_slots, folder)[1].select("id", "key", "sha", "keep_id"), folder, "repeated")
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    several = common.written(repeated.filter(stays).groupBy("sha").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first"), folder, "several")
+    again = repeated.filter(stays).join(several, "sha")
+    leaving = repeated.filter(~stays).unionByName(again.filter("key <> first").drop("first")).select("id", "key").distinct()
+    twice = again.filter("key = first").select("id", "key").distinct()
+    return rows.without(docs, common.written(leaving, folder, "leaving"), common.written(twice, folder, "twice"), id_col, text_col)
 
 
 ORACLE = f"""

@@ -10,9 +10,9 @@ No source is ever gathered: keys fall into about sqrt(rows) buckets by their ran
 are summed a bucket, the sums are prefix-summed within the source, and only the one bucket in which the
 budget ends (about sqrt(rows) documents) is sorted.
 
-Defined cases: null text has size 0; null source is a source; empty table gives an empty result; rows that
-repeat an id have the same key and stand next to each other in the order; a source without words has
-target 0.
+Defined cases: null text has size 0; a text is counted whole, however long; null source is a source; empty table
+gives an empty result; rows that repeat an id have the same key and stand next to each other in the order; a source
+without words has target 0; ids may be of any type; other columns pass through ``mix`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, rows
 
 SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: The table of sources is broadcast up to so many rows; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
-_S = ["__source", "__size", "__key", "__u", "__id"]
 
 
 def word_count(text: Column) -> Column:
@@ -42,16 +41,32 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(mean.between(3, 10), 2.0).otherwise(1.0) * F.when(size >= 50, 2.0).otherwise(1.0)
 
 
-def with_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None = None) -> DataFrame:
-    text, u = common.text_of(docs, text_col), (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__source": F.col(f"`{source_col}`"), "__size": word_count(text), "__u": u})
-    return keyed.withColumn("__w", weight if weight is not None else quality_weight(text, F.col("__size"))).withColumns({"__key": -F.log("__u") / F.col("__w"), "__rank": 1 - F.pow("__u", 1 / F.col("__w"))}).drop("__w")
+def key_columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None = None, p: str = "") -> DataFrame:
+    """docs with id, source, size, key (the exponential key) and rank (its rank under weight 1), each named with p in front; weight may use the columns of docs."""
+    text, name = common.text_of(docs, text_col), lambda x: F.col(p + x)
+    drawn = F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(common.quoted(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    u = (F.conv(F.substring(drawn, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    keyed = docs.withColumns({f"{p}id": common.quoted(id_col), f"{p}source": common.quoted(source_col), f"{p}size": word_count(text), f"{p}u": u})
+    keyed = keyed.withColumn(f"{p}weight", weight if weight is not None else quality_weight(text, name("size")))
+    return keyed.withColumns({f"{p}key": -F.log(name("u")) / name("weight"), f"{p}rank": 1 - F.pow(name("u"), 1 / name("weight"))}).drop(f"{p}weight", f"{p}u")
+
+
+def _row(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(rows.row_key(docs, id_col, text_col), common.quoted(source_col).cast("string"))
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weight: Column | None = None) -> DataFrame:
+    """The slim table on which all is decided: (id, row, source, size, key, rank); row tells rows with different id, text or source apart."""
+    p = common.prefix(docs)
+    keyed = key_columns(docs, id_col, text_col, source_col, seed, weight, p)
+    slim = keyed.select(F.col(f"{p}id").alias("id"), _row(docs, id_col, text_col, source_col).alias("row"), *[F.col(p + c).alias(c) for c in ("source", "size", "key", "rank")])
+    return common.written(slim, common.shared_folder(docs.sparkSession, "mixing"), "keys")
 
 
 def targets(keyed: DataFrame) -> DataFrame:
     """(source, source_size, target): one row a source; a window over the table of sources alone."""
     w = F.element_at(F.array(*map(F.lit, SOURCE_WEIGHTS)), (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(SOURCE_WEIGHTS) + 1)
-    sources = keyed.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")).withColumn("w", w)
+    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("w", w)
     all_, before = Window.partitionBy(), Window.orderBy("cap", F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
     shared = sources.withColumn("cap", MOST_EPOCHS * F.col("source_size") / F.col("w"))
     left = SHARE * F.sum("source_size").over(all_) - MOST_EPOCHS * F.coalesce(F.sum("source_size").over(before), F.lit(0))
@@ -60,50 +75,71 @@ def targets(keyed: DataFrame) -> DataFrame:
     return shared.select("source", "source_size", F.when(F.col("capped"), MOST_EPOCHS * F.col("source_size").cast("double")).otherwise(F.col("w") * rate).alias("target"))
 
 
+def bucket_of(rank: Column, buckets: int) -> Column:
+    return F.least(F.floor(rank * buckets), F.lit(buckets - 1))
+
+
 def plan(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """For each source: size, target, epochs, and the bucket in which its budget ends with what is left there."""
-    buckets = max(1, math.isqrt(keyed.count()))
-    bucket = F.least(F.floor(F.col("__rank") * buckets), F.lit(buckets - 1))
-    goals = targets(keyed)
+    """For each source (s): size, target, epochs, and the bucket in which its budget ends with what is left there. A written table."""
+    buckets, folder = max(1, math.isqrt(keyed.count())), common.shared_folder(keyed.sparkSession, "mixing")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goals = goals.withColumn("epochs", F.least(full, F.lit(MOST_EPOCHS))).withColumn("budget", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
-    goals = common.written(goals, common.shared_folder(keyed.sparkSession, "mixing"), "goals")
-    sums = keyed.groupBy(F.col("__source").alias("s"), bucket.alias("bucket")).agg(F.sum("__size").alias("words"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ends = sums.join(goals, F.col("s").eqNullSafe(F.col("source"))).filter(F.col("before") <= F.col("budget")).groupBy("source").agg(F.max_by("bucket", "bucket").alias("end_bucket"), F.max_by("before", "bucket").alias("end_before"))
-    ends = ends.withColumnRenamed("source", "s")
-    return goals.join(ends, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("source").alias("p_source"), "source_size", "target", "epochs", F.coalesce("end_bucket", F.lit(-1)).alias("end_bucket"), (F.col("budget") - F.coalesce("end_before", F.lit(0))).alias("left_words")), buckets
-
-
-def decide(keyed: DataFrame, goals: DataFrame, buckets: int) -> DataFrame:
-    """keyed rows with __source_size, __target, __epochs, __extra (words of the fractional part) and __partly (it has a part)."""
-    goals = goals.toDF(*[f"__{c}" for c in goals.columns])
-    if goals.count() <= BROADCAST_SOURCES:
-        goals = F.broadcast(goals)
-    rows = keyed.withColumn("__bucket", F.least(F.floor(F.col("__rank") * buckets), F.lit(buckets - 1)))
-    rows = rows.join(goals, F.col("__source").eqNullSafe(F.col("__p_source")))
-    plain = rows.filter("__bucket <> __end_bucket").withColumn("__partly", F.col("__bucket") < F.col("__end_bucket")).withColumn("__extra", F.when(F.col("__partly"), F.col("__size")).otherwise(F.lit(0).cast("long")))
-    order = Window.partitionBy("__source").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.filter("__bucket = __end_bucket").withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
-    last = last.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__left_words") - F.col("__before"))).cast("long")).withColumn("__partly", F.col("__before") < F.col("__left_words")).drop("__before")
-    return plain.unionByName(last)
+    goals = targets(keyed).withColumn("epochs", F.least(full, F.lit(MOST_EPOCHS))).withColumn("budget", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
+    goals = common.written(goals.withColumnRenamed("source", "s"), folder, "goals")
+    sums = keyed.groupBy("source", bucket_of(F.col("rank"), buckets).alias("bucket")).agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = sums.join(goals, F.col("source").eqNullSafe(F.col("s"))).filter(F.col("before") <= F.col("budget")).groupBy("source").agg(F.max("bucket").alias("end_bucket"), F.max_by("before", "bucket").alias("end_before"))
+    found = goals.join(ends, F.col("s").eqNullSafe(F.col("source")), "left").select("s", "source_size", "target", "epochs", F.coalesce("end_bucket", F.lit(-1)).alias("end_bucket"), (F.col("budget") - F.coalesce("end_before", F.lit(0))).alias("left_words"))
+    return common.written(found, folder, "plan"), buckets
+
+
+def _small(goals: DataFrame) -> DataFrame:
+    return F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals
+
+
+def decide(keyed: DataFrame, goals: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Rows outside and inside the bucket in which their source's budget ends, with extra (words of the fractional part) and partly (the row has a part)."""
+    placed = keyed.withColumn("bucket", bucket_of(F.col("rank"), buckets)).join(_small(goals), F.col("source").eqNullSafe(F.col("s")))
+    plain = placed.filter("bucket <> end_bucket").withColumn("partly", F.col("bucket") < F.col("end_bucket")).withColumn("extra", F.when(F.col("partly"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = placed.filter("bucket = end_bucket").withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = last.withColumn("partly", F.col("before") < F.col("left_words")).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left_words") - F.col("before"))).cast("long")).drop("before")
+    return plain, last
 
 
 def mix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weight: Column | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken, epochs."""
-    keyed = with_keys(docs, id_col, text_col, source_col, seed, weight).select(*_S, "__rank")
-    keyed = common.written(keyed, common.shared_folder(docs.sparkSession, "mixing"), "keys")
-    taken = F.col("__epochs") * F.col("__size") + F.col("__extra")
-    return decide(keyed, *plan(keyed)).select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__epochs").alias("epochs"))
+    keyed = with_keys(docs, id_col, text_col, source_col, seed, weight)
+    plain, last = decide(keyed, *plan(keyed))
+    taken = F.col("epochs") * F.col("size") + F.col("extra")
+    return plain.unionByName(last).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "epochs")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weight: Column | None = None) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each epoch of a document, and one for a fractional part."""
-    keyed = with_keys(docs, id_col, text_col, source_col, seed, weight)
-    slim = common.written(keyed.select(*_S, "__rank"), common.shared_folder(docs.sparkSession, "mixing"), "keys")
-    copies = (F.col("__epochs") + F.col("__partly").cast("int")).cast("int")
-    chosen = decide(keyed, *plan(slim)).withColumn("__copies", copies).filter("__copies > 0")
-    return chosen.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself, with the columns of docs: a row for each epoch of a document, and one for a fractional part.
+
+    All is decided on slim rows. Documents are read once more and meet the sources' plan and the rows of the buckets
+    in which budgets end (about sqrt(rows) a source, broadcast up to ``rows.BROADCAST_ROWS``).
+    """
+    p, keyed = common.prefix(docs), with_keys(docs, id_col, text_col, source_col, seed, weight)
+    goals, buckets = plan(keyed)
+    ends = decide(keyed, goals, buckets)[1].groupBy("id", "row").agg(F.count_if("partly").alias("parts"), F.count(F.lit(1)).alias("n"))
+    ends = common.written(ends, common.shared_folder(docs.sparkSession, "mixing"), "ends")
+    goals = _small(goals.select([F.col(c).alias(p + c) for c in ("s", "epochs", "end_bucket")]))
+    known = ends.select(F.col("id").alias(f"{p}end_id"), F.col("row").alias(f"{p}end_row"), F.col("parts").alias(f"{p}parts"), F.col("n").alias(f"{p}n"))
+    known = F.broadcast(known) if known.count() <= rows.BROADCAST_ROWS else known
+    own = common.own(docs)
+    placed = key_columns(docs, id_col, text_col, source_col, seed, weight, p).withColumns({f"{p}row": _row(docs, id_col, text_col, source_col), f"{p}bucket": bucket_of(F.col(f"{p}rank"), buckets)})
+    placed = placed.join(goals, F.col(f"{p}source").eqNullSafe(F.col(f"{p}s")))
+    placed = placed.join(known, (F.col(f"{p}row") == F.col(f"{p}end_row")) & F.col(f"{p}id").eqNullSafe(F.col(f"{p}end_id")), "left")
+    # A row that repeats and has a part in some of its repeats only is counted for all of them, and stands once.
+    split = F.coalesce(F.col(f"{p}parts").between(1, F.col(f"{p}n") - 1), F.lit(False))
+    part = F.coalesce((F.col(f"{p}parts") > 0).cast("int"), (F.col(f"{p}bucket") < F.col(f"{p}end_bucket")).cast("int"))
+    copies = F.when(split, F.col(f"{p}epochs") * F.col(f"{p}n") + F.col(f"{p}parts")).otherwise(F.col(f"{p}epochs") + part).cast("int")
+    drawn = lambda df: df.withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(0), F.col(f"{p}copies")))).select(own)
+    counted = placed.withColumns({f"{p}copies": copies, f"{p}split": split})
+    if ends.filter("parts BETWEEN 1 AND n - 1").isEmpty():
+        return drawn(counted)
+    return drawn(counted.filter(~F.col(f"{p}split"))).unionByName(drawn(counted.filter(F.col(f"{p}split")).dropDuplicates([f"{p}id", f"{p}row"])))
 
 
 ORACLE = r"""

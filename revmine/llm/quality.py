@@ -6,7 +6,8 @@ feature. Over the chunks the largest and the mean of each feature are taken and
 probability that the label is 1.
 
 Training: at most ``sample`` labelled documents (in the order of a hash of the id, so the bound does not
-depend on how rows are stored) of at most ``max_bytes`` each, on the driver; scoring: every whole text, on
+depend on how rows are stored), on the driver, with at most ``max_bytes`` of each: a longer one gives pieces spread
+evenly over its whole text; scoring: every whole text, on
 the executors, in blocks of chunks, so memory does not grow with a document beyond its bytes. Labels and
 other columns are never inputs of a score.
 
@@ -30,7 +31,7 @@ from . import common
 VECTOR, WIDTH, STRIDE, FILTERS, POSITIONS = 8, 8, 2, 24, 256
 HOP = STRIDE * POSITIONS
 CHUNK = HOP - STRIDE + WIDTH
-SAMPLE, MAX_BYTES, EPOCHS, SEED = 3000, 60_000, 8, 5
+SAMPLE, MAX_BYTES, PIECES, EPOCHS, SEED = 3000, 60_000, 16, 8, 5
 BLOCK = 48
 
 
@@ -134,17 +135,23 @@ def train(documents: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return F.crc32(F.coalesce(common.quoted(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def drawn(text: Column, max_bytes: int) -> Column:
+    """The bytes of a text to learn from: all, or of one beyond max_bytes PIECES pieces that are spread evenly over the whole."""
+    data, piece = text.cast("binary"), max(1, max_bytes // PIECES)
+    starts = [F.floor((F.octet_length(text) - piece) * k / (PIECES - 1)).cast("int") + 1 for k in range(PIECES)]
+    return F.when(F.octet_length(text) <= max_bytes, data).otherwise(F.concat(*[F.substring(data, s, F.lit(piece)) for s in starts]))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``sample`` (text, label) pairs outside the held-out third. The chosen ids are at most ``sample`` rows, so they are broadcast."""
-    known = labels.filter(~held_out(id_col)).groupBy(F.col(f"`{id_col}`").cast("long").alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y")).filter("y is not null and i is not null")
+    """At most ``sample`` (bytes, label) pairs outside the held-out third. The chosen ids are at most ``sample`` rows, so they are broadcast."""
+    known = labels.filter(~held_out(id_col)).groupBy(common.id_of(labels, id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y")).filter("y is not null and i is not null")
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(sample)
-    text = common.text_of(docs, text_col)
-    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), text.alias("t")).filter(F.octet_length("t") <= max_bytes).join(F.broadcast(chosen), F.col("d") == F.col("i"))
-    rows = found.orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(sample).select("t", "y").collect()
-    return [r["t"].encode() for r in rows], np.array([r["y"] for r in rows], np.float32)
+    found = docs.select(common.id_of(docs, id_col).alias("d"), common.text_of(docs, text_col).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("i"))
+    rows = found.select("i", "y", F.xxhash64("t").alias("h"), drawn(F.col("t"), max_bytes).alias("b")).orderBy(F.xxhash64("i"), "i", "h").limit(sample).select("b", "y").collect()
+    return [bytes(r["b"]) for r in rows], np.array([r["y"] for r in rows], np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, max_bytes: int = MAX_BYTES, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -168,11 +175,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    slim = docs.select(F.col(f"`{id_col}`").alias(id_col), common.text_of(docs, text_col).alias("__text"))
+    slim = docs.select(common.quoted(id_col).alias(id_col), common.text_of(docs, text_col).alias("__text"))
     return scored(slim, fit(docs, labels, id_col, text_col), "__text").select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows that the classifier accepts, with the columns of docs."""
-    name = "__score"
-    return scored(docs, fit(docs, labels, id_col, text_col), text_col, name).filter(F.col(name) >= threshold).select([F.col(f"`{c}`") for c in docs.columns])
+    name = f"{common.prefix(docs)}score"
+    return scored(docs, fit(docs, labels, id_col, text_col), text_col, name).filter(F.col(name) >= threshold).select(common.own(docs))

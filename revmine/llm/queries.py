@@ -17,7 +17,7 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.label(table(spark, sf_dir, "documents")).drop("__key", "__root")
+    return simhash.label(table(spark, sf_dir, "documents"))
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ so they are linked as a chain, not as all pairs (with an odd radius, whose balls
 are verified); a task reduces its links to a forest, and the forests'
 links are joined into components.
 
-Defined cases: null or empty text has fingerprint 0 and is linked like any other; repeated rows are rows of
-one component; a null id never names a component unless it has no other; an empty table gives an empty
-result; other columns pass through ``near_dedup`` untouched.
+Defined cases: null or empty text has fingerprint 0 and is linked like any other; a text counts whole, in a task's
+memory at once, however long; repeated rows are rows of one component; a null id never names a component unless it
+has no other; an empty table gives an empty result; ids may be numbers or strings; other columns pass through
+``near_dedup`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, components
+from . import common, components, rows
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 PREFIX_VARIANTS, TASK_VARIANTS = 1 << 21, 1 << 22
@@ -58,19 +59,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, key, fp): key tells rows with different id or text apart."""
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(docs, id_col, text_col).alias("key"), common.text_of(docs, text_col).alias("text"))
+    slim = docs.select(common.id_of(docs, id_col).alias("id"), rows.row_key(docs, id_col, text_col).alias("key"), common.text_of(docs, text_col).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            found = [fingerprint(x.as_py().encode(), shingle, seed) for x in rows.column("text")]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("key"), pa.array(found, pa.int64())], ["id", "key", "fp"])
+        for part in batches:
+            found = [fingerprint(x.as_py().encode(), shingle, seed) for x in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(found, pa.int64())], ["id", "key", "fp"])
         common.give_back()
 
-    return slim.mapInArrow(task, "id long, key long, fp long")
-
-
-def row_key(docs: DataFrame, id_col: str, text_col: str):
-    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), common.text_of(docs, text_col))
+    return slim.mapInArrow(task, f"id {common.id_kind(docs, id_col)}, key long, fp long")
 
 
 def _masks(bits: int, most: int) -> list[np.ndarray]:
@@ -153,16 +150,16 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     flips = np.concatenate(_masks(p, half)) if p else np.zeros(1, np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            fps = rows.column("fp").to_numpy().view(np.uint64)
+        for part_rows in batches:
+            fps = part_rows.column("fp").to_numpy().view(np.uint64)
             for a in range(0, len(fps), 4096):
                 part = fps[a : a + 4096]
                 prefix = ((part >> np.uint64(BITS - p)) if p else part * np.uint64(0))[:, None] ^ flips[None, :]
                 yield pa.RecordBatch.from_arrays([pa.array(prefix.ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], ["prefix", "fp"])
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for prefix, rows in common.runs(batches, "prefix"):
-            fps = rows.column("fp").to_numpy().view(np.uint64)
+        for prefix, met in common.runs(batches, "prefix"):
+            fps = met.column("fp").to_numpy().view(np.uint64)
             spent = np.bitwise_count((fps >> np.uint64(BITS - p)) ^ np.uint64(prefix)) if p else np.zeros(len(fps), np.uint8)
             found = list(meet(fps, half - spent.astype(np.int64), BITS - p, radius))
             if found and sum(map(len, found)):
@@ -174,44 +171,31 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, fingerprint (hex), component_id (least id), __key, __root."""
+    """Per row: doc_id, fingerprint (hex), component_id (least id)."""
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return labelled(docs, id_col, text_col, radius, shingle, seed).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Per row: id, key, fp, root (a fingerprint that names the component) and component_id (its least id)."""
     folder = common.shared_folder(docs.sparkSession, "simhash")
-    rows = common.written(fingerprints(docs, id_col, text_col, shingle, seed), folder, "fingerprints")
-    distinct = common.written(rows.groupBy("fp").agg(F.min("id").alias("least")), folder, "distinct")
+    found = common.written(fingerprints(docs, id_col, text_col, shingle, seed), folder, "fingerprints")
+    distinct = common.written(found.groupBy("fp").agg(F.min("id").alias("least")), folder, "distinct")
     linked = components.connected(links(distinct.select("fp"), distinct.count(), radius), folder)
     linked = common.written(linked.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least"), folder, "linked")
     named = common.written(linked.groupBy("root").agg(F.min("least").alias("component")), folder, "named")
     of = linked.join(named, "root").select("node", "root", "component")
-    whole = distinct.join(of, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("__root"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
-    whole = common.written(whole, folder, "components")
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(whole, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id", F.col("key").alias("__key"), "__root")
+    whole = distinct.join(of, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
+    return found.join(common.written(whole, folder, "components"), "fp").select("id", "key", "fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row of each component, with the columns of docs: that with the least id.
-
-    Whole rows meet only what goes (and rows that repeat as a whole): tables of ids and keys, usually small enough for
-    Spark to broadcast, so that texts need no shuffle.
-    """
+    """One row of each component, with the columns of docs: that with the least id. Texts move as little as ``rows.without`` lets them."""
     folder = common.shared_folder(docs.sparkSession, "simhash")
-    found = label(docs, id_col, text_col, radius, shingle, seed).select(F.col(f"`{id_col}`").alias("id"), F.col("__key").alias("key"), F.col("__root").alias("root"))
-    found = common.written(found, folder, "labels")
+    found = common.written(labelled(docs, id_col, text_col, radius, shingle, seed).select("id", "key", "root"), folder, "labels")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key")))
     groups = common.written(found.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), folder, "groups")
-    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
-    members = found.join(groups, "root").withColumn("stays", stays)
-    removed = common.written(members.filter("NOT stays").select("id", "key").distinct(), folder, "removed")
+    members = found.join(groups, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    leaving = common.written(members.filter("NOT stays").select("id", "key").distinct(), folder, "leaving")
     repeated = common.written(members.filter("stays").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "key"), folder, "repeated")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"__row_id": F.col(f"`{id_col}`").cast("long"), "__row_key": row_key(docs, id_col, text_col)})
-
-    def meets(table: DataFrame, how: str) -> DataFrame:
-        named = table.select(F.col("id").alias("__id"), F.col("key").alias("__key"))
-        return keyed.join(named, (F.col("__row_key") == F.col("__key")) & F.col("__row_id").eqNullSafe(F.col("__id")), how)
-
-    keyed = meets(removed, "left_anti")
-    if repeated.isEmpty():
-        return keyed.select(own)
-    once = meets(repeated, "left_semi").dropDuplicates(["__row_id", "__row_key"])
-    return meets(repeated, "left_anti").select(own).unionByName(once.select(own))
+    return rows.without(docs, leaving, repeated, id_col, text_col)

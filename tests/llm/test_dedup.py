@@ -97,7 +97,7 @@ def test_simhash_matches_brute_force(spark):
 
     docs = awkward(spark, TEXTS + near_copies(spark))
     rows = docs.collect()
-    got = by_id(simhash.label(docs).drop("__key", "__root").collect())
+    got = by_id(simhash.label(docs).collect())
     assert got == near_rows(rows)
     assert len({x[2] for x in got if x[0] and x[0] >= 100}) < 40
 
@@ -133,7 +133,7 @@ def test_meeting_in_small_steps_finds_the_same_links(monkeypatch):
 def test_links_over_prefixes_give_the_same_components(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PREFIX_VARIANTS", 64)
     docs = awkward(spark, near_copies(spark))
-    assert by_id(simhash.label(docs).drop("__key", "__root").collect()) == near_rows(docs.collect())
+    assert by_id(simhash.label(docs).collect()) == near_rows(docs.collect())
 
 
 def test_components_of_chains_and_stars(spark):
