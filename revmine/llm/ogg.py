@@ -1,12 +1,12 @@
 """Media columns in Ogg: pages, packets and logical streams written and read, with checksums and times.
 
-A payload is stored as 8-bit mono samples in one logical stream ("PCM" packets), beside a second logical
-stream that indexes it (one packet for each data packet: its first sample and length); pages of the two
+A payload is stored as unsigned 8-bit mono samples in one logical stream, with the header (big-endian) of the OggPCM
+layout, beside a second logical stream of our own that indexes it (one packet for each data packet: its first sample and length); pages of the two
 are interleaved, as a multiplexed Ogg file has them. Reading verifies every page's CRC-32 and sequence
 number, reassembles packets from lacing values (also across pages), takes the streams apart by serial
 number, and turns granule positions (samples so far) into times.
 
-Defined cases: null text is an empty text (64 bytes of 0 are stored); equal texts give equal media;
+Defined cases: null text is an empty text (64 bytes of 0 are stored); a text is held whole in its task, however long; equal texts give equal media;
 repeated rows give one result each; an empty table gives an empty result; other columns are left out.
 A damaged page raises ValueError.
 """
@@ -28,6 +28,8 @@ from . import common
 
 RATE, PACKET, PAGE_SEGMENTS = 8000, 4096, 255
 PCM, INDEX = 0x50434D31, 0x494E4458
+# Fixed value: the OggPCM header's code of unsigned 8-bit samples.
+UNSIGNED_8 = 1
 _HEAD = "<4sBBqIIIB"
 _FLIP = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -87,8 +89,8 @@ class Stream:
 
 def write_media(payload: bytes, rate: int = RATE) -> bytes:
     pcm, index, out = Stream(PCM), Stream(INDEX), []
-    out += pcm.pages([(b"PCM     " + struct.pack("<HHIIBBHI", 0, 0, 0x10, rate, 8, 1, 0, 0), 0)], first=True)
-    out += index.pages([(b"fishead\0" + struct.pack("<II", PACKET, rate), 0)], first=True)
+    out += pcm.pages([(b"PCM     " + struct.pack(">HHIIBBHI", 0, 0, UNSIGNED_8, rate, 8, 1, 0, 0), 0)], first=True)
+    out += index.pages([(b"RVINDEX\0" + struct.pack(">II", PACKET, rate), 0)], first=True)
     step = PACKET * 16
     for a in range(0, max(1, len(payload)), step):
         part, last = payload[a : a + step], a + step >= len(payload)
@@ -160,7 +162,9 @@ def read_media(media: bytes) -> Media:
     _, *index = streams[INDEX]
     if head.data[:8] != b"PCM     ":
         raise ValueError("the first stream holds no PCM samples")
-    rate = struct.unpack_from("<I", head.data, 16)[0]
+    coding, rate = struct.unpack_from(">II", head.data, 12)
+    if coding != UNSIGNED_8:
+        raise ValueError(f"samples of coding {coding:#x} are not read here")
     at = 0
     for packet, entry in zip(data, index, strict=True):
         if struct.unpack("<QI", entry.data) != (at, len(packet.data)) or packet.granule not in (-1, at + len(packet.data)):
@@ -182,7 +186,7 @@ def features(media: Media) -> str:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = RATE) -> DataFrame:
     """(doc_id, n_bytes, media binary) for every row."""
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), common.text_of(docs, text_col).alias("__text"))
+    slim = docs.select(common.id_of(docs, id_col).alias(id_col), common.text_of(docs, text_col).alias("__text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -190,7 +194,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate
                 texts = [x.as_py().encode() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([write_media(padded(x), rate) for x in texts], pa.binary())], [id_col, "n_bytes", "media"])
 
-    return slim.mapInArrow(task, f"`{id_col}` long, n_bytes long, media binary")
+    return slim.mapInArrow(task, f"`{id_col}` {common.id_kind(docs, id_col)}, n_bytes long, media binary")
 
 
 def read_column(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -207,7 +211,7 @@ def read_column(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             columns = [pa.array(x, kind) for x, kind in zip(zip(*out) if out else [[]] * 6, kinds)]
             yield pa.RecordBatch.from_arrays([rows.column(id_col), rows.column("n_bytes"), *columns], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.select(id_col, "n_bytes", "media").mapInArrow(task, f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(id_col, "n_bytes", "media").mapInArrow(task, f"`{id_col}` {common.id_kind(media, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,10 @@ its range, decompresses the beginning of each candidate, and takes it for a reco
 follow and the whole member decompresses with a right CRC-32 and the announced length; a record belongs to
 the range in which its member starts and is read on beyond the range's end.
 
-Defined cases: null html is an empty payload; rows that repeat the largest id with
+Damage is never passed over in silence: ``read`` counts the records of each archive and raises ValueError where they are
+fewer or more than were written, or where a payload fails its digest.
+
+Defined cases: null html is an empty payload; a payload is held whole in its task, however long; rows that repeat the largest id with
 the same payload are all responses; a null id is a response only where its group has no other; an empty table gives
 an empty result; other columns are left out.
 """
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common, rows
 
 RANGE_BYTES, READ_BYTES = 4 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -36,19 +39,31 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
 
-def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
-    """(id, url, html, digest, refers_to): refers_to is set for revisits. Only digests are grouped, with minima combined before the shuffle; a digest with very many records is spread over them again by broadcast."""
-    n = pages.count()
-    own = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), common.text_of(pages, payload_col).alias("html"))
+def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 0, broadcast_rows: int = rows.BROADCAST_ROWS) -> DataFrame:
+    """(id, url, html, refers_to): refers_to is set for revisits.
+
+    Only digests are grouped, with maxima combined before the shuffle. A table of repeated digests beyond ``broadcast_rows``
+    is met through a Bloom filter, so that only payloads that repeat are shuffled, and none of a digest with very many records.
+    """
+    own = pages.select(common.quoted(id_col).cast("long").alias("id"), common.quoted(url_col).cast("string").alias("url"), common.text_of(pages, payload_col).alias("html"))
     own = own.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     groups = own.filter(F.octet_length("html") >= min_bytes).groupBy(F.col("sha").alias("g")).agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = common.written(groups, common.shared_folder(pages.sparkSession, "warc"), "repeated")
-    most = max(1, n // 1000)  # at most 1,000 groups can have more rows
+    size, repeats = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    refers = F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
+    if size <= broadcast_rows:
+        return own.join(F.broadcast(groups), F.col("sha") == F.col("g"), "left").select("id", "url", "html", refers)
+    slots = bloom.slots_for(size)
+    filter_ = bloom.hit(groups.select(F.xxhash64("g").alias("hash")), "hash", slots)
+    marked = bloom.marked(own, F.xxhash64("sha"), filter_, slots, "may")
+    most = max(1, repeats // 1000)  # at most 1,000 groups can have more rows
     hot = F.broadcast(groups.filter(F.col("n") > most).select(F.col("g").alias("h"), F.col("last").alias("hot_last")))
-    marked = own.join(hot, F.col("sha") == F.col("h"), "left")
-    easy = marked.filter("h is not null").select("id", "url", "html", "sha", F.col("hot_last").alias("last"))
-    rest = marked.filter("h is null").join(groups.filter(F.col("n") <= most), F.col("sha") == F.col("g"), "left").select("id", "url", "html", "sha", "last")
-    return easy.unionByName(rest).select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    met = marked.filter("may").join(hot, F.col("sha") == F.col("h"), "left")
+    easy = met.filter("h is not null").withColumn("last", F.col("hot_last"))
+    rest = met.filter("h is null").join(groups.filter(F.col("n") <= most), F.col("sha") == F.col("g"), "left")
+    alone = marked.filter("NOT may").withColumn("last", F.lit(None).cast("long"))
+    parts = [df.select("id", "url", "html", refers) for df in (alone, easy, rest)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -72,8 +87,8 @@ def write(classified: DataFrame, folder: str) -> DataFrame:
 
         def members() -> Iterator[bytes]:
             nonlocal count
-            for rows in batches:
-                for page, url, html, refers_to in zip(*(rows.column(c) for c in ("id", "url", "html", "refers_to"))):
+            for some in batches:
+                for page, url, html, refers_to in zip(*(some.column(c) for c in ("id", "url", "html", "refers_to"))):
                     count += 1
                     yield record(page.as_py(), url.as_py(), html.as_py().encode(), refers_to.as_py())
 
@@ -90,7 +105,7 @@ class Window:
     def __init__(self, file, start: int, size: int):
         self.file, self.start = file, start
         file.seek(start)
-        self.data = file.read(size)
+        self.data = bytearray(file.read(size))
 
     def more(self) -> bool:
         self.file.seek(self.start + len(self.data))
@@ -153,13 +168,13 @@ def ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return cut.select("archive", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
 
 
-def read(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of all archives; payload_bytes and payload_digest are those of the full payload."""
+def records(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The records that the archives' readable members hold, whatever else is in them; payload_bytes and payload_digest are those of the full payload."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FIELDS.split(", ")]
         kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FIELDS.split(", ")]
-        for part in (x for rows in batches for x in rows.to_pylist()):
+        for part in (x for some in batches for x in some.to_pylist()):
             out = []
             for offset, x in scan(part["archive"], part["start"], part["end"]):
                 revisit, digest, size = x["warc-type"] == "revisit", x["warc-payload-digest"].removeprefix("sha1:"), int(x["x-payload-length"])
@@ -174,6 +189,16 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return common.spread(ranges(archives, range_bytes), "archive", "start").mapInArrow(task, FIELDS)
 
 
+def read(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """As records(), written to a table in the folder (payloads stay in the archives) and held against what the writer counted."""
+    found = common.written(records(archives, range_bytes), folder, "records")
+    counts = found.groupBy(F.col("archive").alias("a")).agg(F.count(F.lit(1)).alias("found"))
+    off = archives.join(counts, F.col("archive") == F.col("a"), "left").filter(F.coalesce("found", F.lit(0)) != F.col("records")).select("archive", "records", F.coalesce("found", F.lit(0)).alias("found")).limit(3).collect()
+    if off:
+        raise ValueError("records lost: " + "; ".join(f"{x['archive']} holds {x['found']} readable records of {x['records']}" for x in off))
+    return found
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
     folder = common.shared_folder(pages.sparkSession, "warc")
-    return read(write(classify(pages, id_col, payload_col, url_col), folder))
+    return read(write(classify(pages, id_col, payload_col, url_col), folder), folder)

@@ -41,14 +41,16 @@ def test_query_matches_brute_force(spark, sf):
 @pytest.mark.parametrize("range_bytes", [warc.RANGE_BYTES, 97])
 def test_any_cut_gives_each_record_once(spark, range_bytes):
     rows = pages(spark, [(*r, "x", "y", 1) for r in ROWS])
-    archives = warc.write(warc.classify(rows), common.shared_folder(spark, "warc-test"))
-    got = warc.read(archives, range_bytes if range_bytes > 97 else 997).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = common.shared_folder(spark, "warc-test")
+    archives = warc.write(warc.classify(rows), folder)
+    got = warc.read(archives, folder, range_bytes if range_bytes > 97 else 997).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert by_id(got.collect(), "page_id") == expected(rows.collect())
 
 
 def test_least_size_and_empty_table(spark):
     rows = pages(spark, [(*r, "x", "y", 1) for r in ROWS])
-    kinds = {r["page_id"]: r["record_type"] for r in warc.read(warc.write(warc.classify(rows, min_bytes=8), common.shared_folder(spark, "warc-test"))).collect()}
+    folder = common.shared_folder(spark, "warc-test")
+    kinds = {r["page_id"]: r["record_type"] for r in warc.read(warc.write(warc.classify(rows, min_bytes=8), folder), folder).collect()}
     assert kinds[1] == kinds[2] == "revisit" and kinds[3] == kinds[4] == kinds[9] == "response"
     assert warc.round_trip(pages(spark, [])).collect() == []
 
@@ -80,3 +82,32 @@ def test_damaged_members_are_no_records(tmp_path):
     path = tmp_path / "z.warc.gz"
     path.write_bytes(bytes(bad) + good)
     assert [warc.page_of(x["warc-record-id"]) for _, x in warc.scan(f"file://{path}", 0, path.stat().st_size)] == [1]
+
+
+def test_a_damaged_archive_raises(spark):
+    rows, folder = pages(spark, [(*r, "x", "y", 1) for r in ROWS]), common.shared_folder(spark, "warc-test")
+    archives = warc.write(warc.classify(rows), folder)
+    whole = warc.records(archives).collect()
+    one = max(whole, key=lambda r: r["payload_bytes"])
+    _, path = common.pafs_of(one["archive"])
+    with open(path, "r+b") as file:
+        file.seek(one["offset"] + 40)
+        byte = file.read(1)
+        file.seek(one["offset"] + 40)
+        file.write(bytes([byte[0] ^ 255]))
+    assert warc.records(archives).count() == len(whole) - 1
+    with pytest.raises(ValueError, match="records lost"):
+        warc.read(archives, folder)
+
+
+def test_digests_beyond_a_broadcast_are_met_through_a_filter(spark):
+    rows = pages(spark, [(*r, "x", "y", 1) for r in ROWS])
+    same = lambda df: sorted(map(repr, df.collect()))
+    assert same(warc.classify(rows, broadcast_rows=0)) == same(warc.classify(rows))
+    assert same(warc.classify(rows, min_bytes=8, broadcast_rows=0)) == same(warc.classify(rows, min_bytes=8))
+
+
+def test_a_page_without_an_id_refers_to_the_largest(spark):
+    rows = pages(spark, [(None, "u", "same", "x", "y", 1), (4, "u", "same", "x", "y", 1), (None, "u", "alone", "x", "y", 1)])
+    got = sorted((repr(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.round_trip(rows).collect())
+    assert got == [("4", "response", None), ("None", "response", None), ("None", "revisit", 4)]
