@@ -255,7 +255,7 @@ def test_tfidf_by_hand(spark):
     assert got == [(1, 2, pytest.approx(sum(w[1][t] * w[2].get(t, 0) for t in w[1]), abs=1e-8))]
     assert sorted(map(tuple, tfidf.similar(docs, F.lit(True), 5, block_bytes=100).select("query_id", "doc_id").collect())) == [(1, 2), (2, 1)]
     assert tfidf.similar(docs.filter("false"), F.lit(True), 5).collect() == []
-    assert [r["term"] for r in tfidf.vocabulary(docs.select(tfidf.terms("text").alias("terms")), 2).collect()] == ["fish", "blue"]
+    assert [r["term"] for r in tfidf.vocabulary(docs.select(tfidf.words("text").alias("words")), 2).collect()] == ["fish", "blue"]
 
 
 def test_hashed_vectors(spark):
