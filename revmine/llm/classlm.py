@@ -4,7 +4,7 @@ Every text is scored; training documents supply the counts. Words travel as batc
 (``wordtable``); a word's training count is summed over all batches. Every training word is clustered, into
 a number of classes that grows with the vocabulary (``class_count``):
 
-1. Seeds. Each of the most frequent words is a unit, all other words share units by their last bytes. Exchange
+1. Seeds. Each of the most frequent words is a unit; all other words share units by their last bytes, for now. Exchange
    clustering moves one unit at a time to the class that gains most likelihood of the unit bigrams, until a
    pass moves none (or ``passes``). This settles the frequent words.
 2. Rounds. Each other training word, however rare, goes to the class that gives its own bigrams, counted over
@@ -12,7 +12,7 @@ a number of classes that grows with the vocabulary (``class_count``):
    before. Rounds go on while the likelihood of the class bigrams rises (or ``ROUNDS``).
 
 Only a word that training never saw, which has no bigrams to go by, keeps the class of its last bytes' unit,
-and only as context. Words meet in a round by their XXH64. Then
+and only as context. Words are told apart by 64 bits of XXH64 once they are counted. Then
 
     p(w | before) = KNOWN * P(class(w) | class(before)) * c(w) / c(class(w)) + (1 - KNOWN) * base(w)
 
@@ -23,31 +23,31 @@ parts sum to 1 over the vocabulary, the end token and UNK.
 What reaches the driver is bounded by the model: units x units and classes x classes bigram counts. Counts
 cover all training documents at every size; the bigrams of words stay in the tasks.
 
-Defined cases: null or empty text is one end token; without training documents UNK has probability 1;
+Defined cases: null or empty text is one end token; a text is scored whole, however long (a batch of its own); without training documents UNK has probability 1;
 repeated rows count each and get equal scores; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, wordtable
 
-#: Units: the end token, the most frequent words (of MOST_BYTES at most), and one for each hash of the last TAIL bytes.
-WORD_UNITS, TAIL_UNITS, TAIL, MOST_BYTES = 767, 256, 3, 64
+#: Units of the seeds: the end token, the most frequent words, and one for each hash of the last TAIL bytes.
+WORD_UNITS, TAIL_UNITS, TAIL = 767, 256, 3
 UNITS = 1 + WORD_UNITS + TAIL_UNITS
 CLASSES, PASSES, KNOWN, PRIOR = 64, 12, 0.9, 20.0
 #: Rounds of assignment; likelihoods as integers of 1 / SCALE, so that sums do not depend on their order; a class that no word may take.
 ROUNDS, SCALE, NEVER = 2, 1 << 20, -(1 << 32)
+#: Contexts beyond which a word's votes are a row of a matrix product, occurrences up to which that is exact, and up to which sums fit 32 bits.
+MANY, EXACT, FEW = 24, 1 << 26, 32
 END = b""
 
 
@@ -57,12 +57,15 @@ def words(text: str) -> list[bytes]:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return F.crc32(F.coalesce(common.quoted(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def unit_of(word: bytes, frequent: dict[bytes, int]) -> int:
-    found = frequent.get(word)
-    return 1 + WORD_UNITS + zlib.crc32(word[-TAIL:]) % TAIL_UNITS if found is None else found
+def with_units(counts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(batch, pos, unit, c, key) of (batch, pos, word, c), with frequent(frequent_key, rank): words as 64-bit keys and unit numbers, so that the words themselves stay behind."""
+    tail = 1 + WORD_UNITS + F.crc32(F.substring(F.col("word").cast("binary"), -TAIL, TAIL)) % TAIL_UNITS
+    met = counts.withColumn("key", F.xxhash64("word")).join(F.broadcast(frequent), F.col("key") == F.col("frequent_key"), "left")
+    unit = F.when(F.coalesce("word", F.lit("")) == "", 0).otherwise(F.coalesce("rank", tail))
+    return met.select("batch", "pos", unit.cast("short").alias("unit"), "c", "key")
 
 
 def class_count(vocabulary: int) -> int:
@@ -166,19 +169,42 @@ def votes(pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen(starts: np.ndarray, context: np.ndarray, n: np.ndarray, vote: np.ndarray, most: int = 1 << 22) -> np.ndarray:
-    """Best class of words whose contexts begin at starts and occur n times each; of equal ones the least."""
-    out, ends, a = np.zeros(len(starts), np.int64), np.append(starts[1:], len(context)), 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + most // vote.shape[1], "right")))
-        total = np.zeros((b - a, vote.shape[1]), np.int64)
-        for c in range(int(starts[a]), int(ends[b - 1]), most // vote.shape[1] + 1):
-            d = min(c + most // vote.shape[1] + 1, int(ends[b - 1]))
-            cut = np.maximum(starts[a:b], c) - c  # more than one step only if b == a + 1
-            total += np.add.reduceat(vote[context[c:d]] * n[c:d, None], cut, axis=0)
-        out[a:b] = total.argmax(1)
-        a = b
-    return out
+def chosen(starts: np.ndarray, context: np.ndarray, n: np.ndarray, vote: np.ndarray, most: int = 1 << 22, many: int = MANY) -> np.ndarray:
+    """Best class of words whose contexts begin at starts and occur n times each; of equal ones the least.
+
+    Words of more than ``many`` contexts are rows of a dense matrix that is multiplied with the votes (in doubles, exact below
+    2 ** 53, which EXACT occurrences keep to); others add up the votes of their contexts one by one, in narrower integers if few occur.
+    """
+    out, ends = np.zeros(len(starts), np.int64), np.append(starts[1:], len(context))
+    some = np.flatnonzero(vote[0] > NEVER)
+    if not len(starts) or not len(some):
+        return out
+    votes_, sizes, times = np.ascontiguousarray(vote[:, some]), ends - starts, np.add.reduceat(n, starts)
+    dense = (sizes > many) & (times <= EXACT)
+    few = (sizes <= many) & (times <= FEW) & (np.abs(votes_).max() < (1 << 31) // FEW)
+    step = max(1, most // max(votes_.shape))
+    at = np.flatnonzero(dense)
+    for a in range(0, len(at), step):
+        part = at[a : a + step]
+        taken = np.repeat(starts[part] - np.cumsum(sizes[part]) + sizes[part], sizes[part]) + np.arange(int(sizes[part].sum()))
+        row = np.repeat(np.arange(len(part)), sizes[part])
+        counts = np.bincount(row * len(votes_) + context[taken], n[taken], len(part) * len(votes_)).reshape(len(part), -1)
+        out[part] = (counts @ votes_.astype(np.float64)).argmax(1)
+    for at, table in ((np.flatnonzero(few), votes_.astype(np.int32)), (np.flatnonzero(~dense & ~few), votes_)):
+        a, before = 0, np.cumsum(sizes[at])
+        while a < len(at):  # contexts of some words at a time, or of a part of one word
+            begin = int(before[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(before, begin + step, "right")))
+            part = at[a:b]
+            if b > a + 1 or sizes[part[0]] <= step:
+                taken = np.repeat(starts[part] - np.cumsum(sizes[part]) + sizes[part], sizes[part]) + np.arange(int(sizes[part].sum()))
+                total = np.add.reduceat(table[context[taken]] * n[taken, None].astype(table.dtype), np.cumsum(sizes[part]) - sizes[part], axis=0)
+            else:
+                cuts = range(int(starts[part[0]]), int(ends[part[0]]), step)
+                total = sum((table[context[c : min(c + step, ends[part[0]])]] * n[c : min(c + step, ends[part[0]]), None]).sum(0, keepdims=True) for c in cuts)
+            out[part] = total.argmax(1)
+            a = b
+    return some[out]
 
 
 def _values_file(folder: str, batch: int) -> str:
@@ -350,21 +376,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outsi
     """
     spark = docs.sparkSession
     folder = common.shared_folder(spark, "classlm")
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), common.text_of(docs, text_col).alias("text"), (~(held_out(id_col) if outside is None else outside)).alias("flag"))
+    slim = docs.select(common.id_of(docs, id_col).alias("id"), common.text_of(docs, text_col).alias("text"), (~(held_out(id_col) if outside is None else outside)).alias("flag"))
     table = common.written(counted(wordtable.split_batches(slim, lambda: words, folder, batch_chars)).select("batch", "pos", "word", "c", "first"), folder, "counts")
     totals = table.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    frequent_rows = table.filter((F.col("first")) & (F.col("c") > 0) & (F.col("word") != "") & (F.octet_length("word") <= MOST_BYTES)).orderBy(F.desc("c"), "word").limit(WORD_UNITS).collect()
+    frequent_rows = table.filter((F.col("first")) & (F.col("c") > 0) & (F.col("word") != "")).orderBy(F.desc("c"), "word").limit(WORD_UNITS).select(F.xxhash64("word").alias("key")).collect()
+    frequent = spark.createDataFrame([(r["key"], k) for k, r in enumerate(frequent_rows, 1)], "frequent_key long, rank long")
     classes = class_count(totals["v"])
-    frequent = {END: 0} | {r["word"].encode(): k for k, r in enumerate(frequent_rows, 1)}
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in common.runs(batches, "batch"):
             whole = wordtable.unpack(common.read_bytes(wordtable.batch_file(folder, batch)))
-            found_words = [w.as_buffer().to_pybytes() if w.is_valid else END for w in rows.column("word")]
-            unit = np.array([unit_of(w, frequent) for w in found_words], np.int16)
-            key_of = np.array([xxhash.xxh64_intdigest(w) for w in found_words], np.uint64)
-            count = rows.column("c").to_numpy()
-            common.write_bytes(_values_file(folder, batch), zstandard.ZstdCompressor(level=1).compress(unit.astype("<i2").tobytes() + count.astype("<i8").tobytes() + key_of.astype("<u8").tobytes()))
+            unit, count, key = (rows.column(c).to_numpy() for c in ("unit", "c", "key"))
+            common.write_bytes(_values_file(folder, batch), zstandard.ZstdCompressor(level=1).compress(unit.astype("<i2").tobytes() + count.astype("<i8").tobytes() + key.astype("<i8").tobytes()))
             pairs = np.zeros(UNITS * UNITS, np.int64)
             for a, b in _slices(whole):
                 found, first, _ = _contexts(whole, a, b)
@@ -375,7 +398,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outsi
             some = np.flatnonzero(pairs)
             yield from common.in_parts(pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(pairs[some])], ["pair", "n"]), 100_000)
 
-    seen = wordtable.by_batch(table.select("batch", "pos", "word", "c"), "pos").mapInArrow(pair, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    seen = wordtable.by_batch(with_units(table, frequent), "pos").mapInArrow(pair, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(UNITS * UNITS)
     pairs[seen["pair"].to_numpy()] = seen["n"].to_numpy()
     of = exchange(pairs.reshape(UNITS, UNITS), classes)
@@ -390,15 +413,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outsi
             known, base = count > 0, model.base(count)
             emit = np.where(known, (count - 0.5 * (count == 1)) / np.maximum(model.mass[class_], 0.5), 1.0)
             target = np.where(known, class_, model.follows.shape[1] - 1)
-            log_base, ids = np.log10(base), whole.id_list()
+            log_base = np.log10(base)
             for a, b in _slices(whole):
                 found, first, starts = _contexts(whole, a, b)
                 before = np.concatenate(([0], class_[found[:-1]]))
                 before[first] = 0
                 p = KNOWN * model.follows[before, target[found]] * emit[found] + (1 - KNOWN) * base[found]
                 size, total = whole.sizes[a:b], np.add.reduceat(np.log10(p), starts)
-                columns = [pa.array(ids[a:b], pa.int64()), pa.array(~whole.flags[a:b]), pa.array(size), pa.array(np.add.reduceat(known[found].astype(np.int64), starts)), pa.array(np.full(b - a, model.tokens)), pa.array(np.add.reduceat(log_base[found], starts)), pa.array(total), pa.array(10 ** (-total / size))]
+                columns = [whole.ids[a:b], pa.array(~whole.flags[a:b]), pa.array(size), pa.array(np.add.reduceat(known[found].astype(np.int64), starts)), pa.array(np.full(b - a, model.tokens)), pa.array(np.add.reduceat(log_base[found], starts)), pa.array(total), pa.array(10 ** (-total / size))]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    schema = f"`{id_col}` {common.id_kind(docs, id_col)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     return wordtable.by_batch(batches_).mapInArrow(rate, schema)
