@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,11 +113,11 @@ class WordEncoder:
         return [len(x) for x in found], np.fromiter(chain.from_iterable(found), np.int32)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        easy = np.fromiter((x[:1] == " " and not x[1:2].isspace() and len(x) > 1 for x in words), bool, len(words))
+        easy = np.fromiter((x[:1] == " " and x[1:2].strip() != "" for x in words), bool, len(words))
         counts, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         together = [words[k] for k in np.flatnonzero(easy).tolist()]
         values = self._flat(["".join(together[a : a + self.JOINED]) for a in range(0, len(together), self.JOINED)])[1]
-        ends = np.cumsum(np.fromiter((len(x.encode()) for x in together), np.int64, len(together)))
+        ends = np.cumsum(pc.binary_length(pa.array(together, pa.string())).to_numpy(), dtype=np.int64)
         after = np.cumsum(self.bytes_of[values])
         last = np.searchsorted(after, ends)
         if len(after) != (last[-1] + 1 if len(last) else 0) or (after[last] != ends).any():

@@ -55,7 +55,7 @@ def write_shard(uri: str, documents: Iterator[tuple[object, bytes]], bits: bool
     names, counts, index, packer, state = [], [], [], zstandard.ZstdCompressor(level=3), [len(MAGIC), 0]
 
     def block(data: bytes) -> bytes:
-        packed = [packer.compress(p) if any(p) else b"\0" for p in to_planes(np.frombuffer(data, "<u4"), bits)]
+        packed = [packer.compress(p) if p.strip(b"\0") else b"\0" for p in to_planes(np.frombuffer(data, "<u4"), bits)]
         index.append((state[0], len(data) // 4, zlib.crc32(data), *map(len, packed)))
         state[0] += sum(map(len, packed))
         return b"".join(packed)
