@@ -1,15 +1,20 @@
-"""Text encoders: where no pretrained model is at hand, words hashed into a vector of unit length.
+"""Text encoders: where no pretrained model is at hand, words hashed into a vector of unit length, plain or fitted on a corpus.
 
 An encoder is any function Column -> array<double>, so a model behind a pandas UDF can take this one's place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 WIDTH = 64
+#: Words whose document counts an encoder is fitted with; others count as words of no document.
+MOST_WORDS = 50_000
 
 
 def hashed(c: Column, width: int = WIDTH) -> Column:
@@ -34,6 +39,41 @@ def hashed(c: Column, width: int = WIDTH) -> Column:
     return encode(c)
 
 
+def fitted(corpus: DataFrame, words: Column, width: int = WIDTH, most: int = MOST_WORDS) -> Callable[[Column], Column]:
+    """An encoder of arrays of words, fitted on a corpus: a word counts by its rarity there, ln((1 + n) / (1 + documents)) + 1, with a sign of its own.
+
+    Bucket and sign come from the first 32 bits of the word's md5; document counts are combined before their shuffle, and ``most`` of them are kept.
+    """
+    seen = corpus.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most).toArrow()
+    total = corpus.count()
+    weights = {w: math.log((1 + total) / (1 + n)) + 1 for w, n in zip(seen["w"].to_pylist(), seen["n"].to_pylist())}
+    shipped, rare = corpus.sparkSession.sparkContext.broadcast(weights), math.log(1 + total) + 1
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def encode(lists):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        known, weights, out = {}, shipped.value, []
+
+        def placed(w: str) -> tuple[int, float]:
+            if w not in known:
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+                known[w] = (h // 2 % width, weights.get(w, rare) * (1 - h % 2 * 2))
+            return known[w]
+
+        for row in lists:
+            at = [placed(w) for w in (row if row is not None else ())]
+            v = np.bincount(np.array([b for b, _ in at], np.int64), np.array([x for _, x in at], float), width)
+            norm = np.sqrt((v * v).sum())
+            out.append(v / norm if norm else v)
+        return pd.Series(out)
+
+    return encode
+
+
 def dual(first: Column, second: Column | None, width: int) -> Column:
     """Two vectors side by side; a missing second one is all zeros."""
     return F.concat(first, second if second is not None else F.array_repeat(F.lit(0.0), width))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import declarations, diff, text
-from ..operators import classify, dataset, generic, knn, retrieval
+from ..operators import classify, dataset, generic, knn, pairs, retrieval
 from ..sources import readers, work
 from . import inputs as sql
 from .registry import query
@@ -160,3 +160,12 @@ def recommender_with_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = classify.score(model, near.join(c, F.col("id") == F.col("comment_id")), "payload")
     kept = retrieval.first_hits(met, F.col("payload"), text.keep_for_retrieval("comment_text", "suggestion_text", F.col("generic")) & (F.col("p_keep") >= retrieval.P_KEEP))
     return retrieval.ranked(kept, F.asc("rank")).filter("place <= 15").select("query_id", "id", F.round("p_keep", 6).alias("p_keep"), "place")
+
+
+@query()
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(the comment belongs to the diff) of held-out pairs, by a scorer trained on positives and negatives."""
+    rows = dataset.split(dataset.with_negatives(_positives(spark, sf_dir), _IDS), [*_IDS, "label"])
+    rows = work.written(rows, f"{work.shared_folder(spark, 'pairs')}/rows")
+    model = pairs.train(rows.filter("part = 'train'"))
+    return pairs.score(model, rows.filter("part <> 'train'")).select(*_IDS, "label", F.round("p_pair", 6).alias("p_pair"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from revmine.functions import declarations, fuzzy
-from revmine.operators import ann, classify, dataset, encode, evaluate, generic, ingest, knn, ranking, retrieval, tfidf
+from revmine.operators import ann, classify, dataset, encode, evaluate, generic, ingest, knn, pairs, ranking, retrieval, tfidf
 
 
 def longest(a, b):
@@ -325,3 +325,26 @@ def test_declarations():
 def test_broken_code_does_not_fail(code):
     list(declarations.declarations(code))
     declarations.related(code)
+
+
+def test_the_pair_scorer_learns_which_comments_belong(spark):
+    rng = np.random.default_rng(7)
+    topics = [[f"{t}{i}name" for i in range(12)] for t in "abcdefgh"]
+    draw = lambda t, n: " ".join(rng.choice(topics[t] + ["the", "of", "a"], n))
+    rows = []
+    for i in range(300):
+        t, other = int(rng.integers(8)), int(rng.integers(1, 8))
+        rows.append((i, i % 2, draw(t, 20), draw(t if i % 2 else (t + other) % 8, 8)))
+    df = spark.createDataFrame(rows + [(900, None, None, None)], "i int, label int, diff string, comment string")
+    model = pairs.train(df.filter("i < 200"))
+    got = pairs.score(model, df.filter("i >= 200"))
+    right = [(r["p_pair"] >= 0.5) == bool(r["label"]) for r in got.collect() if r["label"] is not None]
+    assert got.columns == [*df.columns, "p_pair"] and np.mean(right) > 0.9 and got.count() == 101
+
+
+def test_a_fitted_encoder_weighs_rare_words_more(spark):
+    df = spark.createDataFrame([(["the", f"w{i}"],) for i in range(20)] + [([],), (None,)], "w array<string>")
+    encode_ = encode.fitted(df, F.col("w"), 32)
+    common, rare = (spark.createDataFrame([(x,) for x in ([a], ["the", "w3"])], "w array<string>").select(encode_(F.col("w"))).collect() for a in ("the", "w3"))
+    near = lambda rows: abs(float(np.dot(rows[0][0], rows[1][0])))
+    assert near(rare) > near(common) and not any(df.select(encode_(F.col("w"))).collect()[-1][0])
