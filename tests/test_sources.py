@@ -87,3 +87,17 @@ def test_a_relational_store_is_read_by_a_query_in_parts(spark):
     parts = {"partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4"}
     got = readers.database(spark, url, 'SELECT * FROM notes WHERE "id" < 90', driver=driver, **parts)
     assert got.rdd.getNumPartitions() == 4 and sorted(r[0] for r in got.collect()) == list(range(90))
+
+
+def test_windows_drop_rows_that_are_too_late(spark, tmp_path):
+    """The third batch brings one row of a window that the watermark had passed before the batch ahead of it, and one of an open window."""
+    from datetime import datetime
+
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    for k, times in enumerate(([at(10, 0), at(12, 0)], [at(12, 5)], [at(10, 5), at(12, 30)])):
+        spark.createDataFrame([(t, "x") for t in times], "ts timestamp, kind string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    like = spark.read.parquet(f"{tmp_path}/in/0")
+    counts = index.windowed_counts(index.source(spark, f"{tmp_path}/in/*", like), "ts", "kind")
+    index.keep_changes(counts, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    got = {r["hour"]: r["n"] for r in index.latest(spark, f"{tmp_path}/out", "window", "key").select(F.hour("window.start").alias("hour"), "n").collect()}
+    assert got == {10: 1, 12: 3}
