@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import ranking
 from ..sources import readers, sinks, work
 from . import inputs as sql
 from .registry import query
@@ -124,6 +125,16 @@ def scored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("comment_id", text.content_key(block).alias("block_key"))
 
 
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY value DESC, event_id) - 1 AS row_no, event_id, event_type FROM events)
+SELECT event_id, row_no, md5(repeat('=', 60) || chr(10) || 'Example #' || row_no::STRING || chr(10) || 'True   : 1' || chr(10) || 'Pred   : 0   (p_pos=0.500)' || chr(10) || chr(10) || 'FILE   : ' || chr(10) || 'LABEL  : ' || chr(10) || chr(10)
+ || repeat('-', 60) || ' DIFF' || chr(10) || event_type || chr(10) || chr(10) || repeat('-', 60) || ' COMMENT' || chr(10) || event_type) AS block_key FROM e""")
+def numbered_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump of a table in an order, numbered from 0."""
+    placed = ranking.ordered(readers.table(spark, sf_dir, "events").select("event_id", "event_type", "value"), F.desc("value"), "event_id")
+    block = sinks.example(F.col("row_no"), F.lit(1), F.lit(0), F.lit(0.5), F.col("event_type"), F.col("event_type"))
+    return placed.select("event_id", "row_no", text.content_key(block).alias("block_key"))
+
+
 @query("SELECT event_type, count(DISTINCT user_id) AS n, md5(string_agg(DISTINCT 'user ' || user_id::STRING, '|' ORDER BY 'user ' || user_id::STRING)) AS lines_key FROM events GROUP BY event_type")
 def routed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, one of each key, in a folder for each route; read back as lines."""
