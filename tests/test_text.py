@@ -148,3 +148,18 @@ def test_readable_blocks(spark):
     assert got[0] == "===== POS (PR 12 • window #3) =====" and got[1:3] == ["FILE  : a.c", "LABEL : (none)"] and got[4] == "win" and got[6] == "said"
     shown = df.select(sinks.example(F.col("n"), F.lit(1), F.lit(0), F.lit(0.25), text.with_prefix("f", F.lit("x"), "w"), F.col("c"))).first()[0]
     assert "Example #3" in shown and "(p_pos=0.250)" in shown and "FILE   : a.c" in shown and "LABEL  : x" in shown
+
+
+def test_white_space_by_single_characters_is_that_of_the_class(spark):
+    """strip, tokens and merge_key against the class that the twins use, on every character that could matter and on long runs of white space."""
+    points = [*range(0x3100), 0xD7FF, 0xE000, 0xFEFF, 0xFFFD, 0x1F600, 0x10FFFF]
+    space = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", text.SPACE) + "]")
+    assert {chr(p) for p in points if space.match(chr(p))} == set(text.SPACES)
+    texts = [f"{chr(p)}a{chr(p)}B{chr(p)}" for p in points] + [" " * 3000 + "x" + " " * 3000 + "\u3000y\x85", " " * 50, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rx = f"^[{text.SPACE}]+|[{text.SPACE}]+\\z"
+    old = F.regexp_replace(text.text("t"), rx, "")
+    want = [old, F.regexp_extract_all(text.text("t"), F.lit(f"[^{text.SPACE}]+"), F.lit(0)), F.regexp_replace(F.regexp_replace(F.lower(old), f"[^a-z0-9{text.SPACE}]+", ""), f"[{text.SPACE}]+", " ")]
+    got = df.select("t", text.strip("t").alias("s"), text.tokens("t").alias("k"), text.merge_key("t").alias("m"), text.token_count("t").alias("n"), *[w.alias(f"w{i}") for i, w in enumerate(want)]).collect()
+    assert all((r["s"], r["k"], r["m"], r["n"]) == (r["w0"], r["w1"], r["w2"], len(r["w1"])) for r in got)
+    assert "[^" not in text.OTHER
