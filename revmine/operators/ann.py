@@ -101,7 +101,7 @@ def _block(index: Index, query_kind: str, queries: list, k: int, probes: int) ->
                 asked = probing[starts[cell[a]] : starts[cell[a] + 1]].astype(np.int64)
                 step = max(1, knn.MATRIX_CELLS // max(1, len(asked)))
                 for c in range(a, b if len(asked) else a, step):
-                    far = knn.closest(knn.distances(vectors[asked], found[c : min(b, c + step)], "cosine"), k)
+                    far = knn.closest(knn.distances(vectors[asked], found[c : min(b, c + step)]), k)
                     q, at = np.nonzero(np.isfinite(far))
                     kept = knn.nearest_of(*(np.concatenate(x) for x in zip(kept, (asked[q], all_ids[c + at], far[q, at]))), k)
         if kept is not None:
@@ -115,7 +115,7 @@ def search(index: Index, queries: DataFrame, k: int, query_id: str = "vec_id", v
     """(query_id, id, distance, rank) by cosine distance: the k nearest rows in the cells that a query probes."""
     asked, query_kind = knn.picked(queries, query_id, vector_col, None, "query_")
     probes = min(len(index.centres), probes or index.probes)
-    near = knn.in_blocks(asked, F.size("query_vector") * 8, block_bytes, lambda part: _block(index, query_kind, part, k, probes), "ann-near") if len(index.centres) else None
+    near = knn.in_blocks(asked, F.size("query_vector") * 8, block_bytes, lambda part, _: _block(index, query_kind, part.to_pylist(), k, probes), "ann-near") if len(index.centres) else None
     if near is None:
         near = queries.sparkSession.createDataFrame([], f"query_id {query_kind}, id {index.kind}, distance double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)

@@ -348,3 +348,40 @@ def test_a_fitted_encoder_weighs_rare_words_more(spark):
     common, rare = (spark.createDataFrame([(x,) for x in ([a], ["the", "w3"])], "w array<string>").select(encode_(F.col("w"))).collect() for a in ("the", "w3"))
     near = lambda rows: abs(float(np.dot(rows[0][0], rows[1][0])))
     assert near(rare) > near(common) and not any(df.select(encode_(F.col("w"))).collect()[-1][0])
+
+
+def test_equal_vectors_are_searched_once_and_met_k_at_a_time(spark):
+    """Many copies on both sides: each query keeps its own rows, ties go to the smallest ids, and few candidates are ranked."""
+    rng = np.random.default_rng(11)
+    kinds = rng.standard_normal((5, 6))
+    vectors = {i: kinds[i % 5].tolist() if i % 3 else rng.standard_normal(6).tolist() for i in range(900)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    asked = [*range(0, 900, 7)]
+    for size in (1 << 20, 200):
+        got = knn.nearest(df, df.filter(F.col("vec_id").isin(asked)), 4, block_bytes=size).collect()
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == sorted((a, b, d) for a, b, _, d in brute(vectors, asked, 4, "cosine"))
+    assert len(knn.least_ids(np.ones((5000, 6)), np.arange(5000)[::-1].copy(), None, 4)) == 4
+
+
+def test_rows_that_cannot_be_near_get_no_distance(monkeypatch):
+    rng = np.random.default_rng(5)
+    queries, rows = rng.standard_normal((8, 16)), rng.standard_normal((3000, 16))
+    for metric in ("cosine", "l2sq"):
+        m = knn.Metric(queries, metric)
+        exact, right, error = m.factors(rows)
+        q, r = (x.ravel() for x in np.indices((8, 3000)))
+        far = m.pairs(q, exact, r).reshape(8, 3000)
+        kth = np.sort(far, axis=1)[:, 4]
+        met = m.left @ right.T >= (m.least(kth) - error).astype(m.left.dtype)[:, None]
+        assert (met >= (far <= kth[:, None])).all() and met.sum() < 8 * 10
+
+
+def test_generic_texts_are_met_in_one_pass_or_shuffled_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["LGTM!", "thanks", "a long text " * 40, None, "Fixed in a", "nothing of note"])], "i int, t string")
+    run = lambda: generic.with_generic(df, generic.default_phrases(spark), "t")
+    once = run()
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "BroadcastHashJoin" in plan and once.columns == ["i", "t", "generic"]
+    want = sorted(map(tuple, once.select("i", "generic").collect()))
+    monkeypatch.setattr(generic, "FOUND", -1)
+    assert sorted(map(tuple, run().select("i", "generic").collect())) == want and any(g for _, g in want)
