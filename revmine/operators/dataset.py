@@ -29,7 +29,8 @@ def positives(records: DataFrame, copies: int = SUGGESTION_COPIES, window: int =
     none = F.array().cast("array<struct<comment:string,copy_no:int>>")
     numbered = F.transform(said, lambda x, i: F.struct(x["comment"].alias("comment"), (i + 1).alias("copy_no")))
     own = F.when(F.col("stays"), F.array(F.struct(F.col("c").alias("comment"), F.lit(0).alias("copy_no")))).otherwise(none)
-    rows = r.withColumn("said", F.concat(numbered, own)).filter(F.size("said") > 0)
+    # What says nothing is not cut; a filter here would be moved down and judge every comment twice.
+    rows = r.withColumn("said", F.concat(numbered, own)).withColumn("d", F.when(F.size("said") > 0, F.col("d")))
     rows = diff.windows(rows, "d", window, overlap).withColumn("one", F.explode("said"))
     return rows.select("record_id", "window_no", "one.copy_no", F.lit(1).alias("label"), "pr_number", "commenter", text.with_prefix("fn", "lb", "window_text").alias("diff"), "one.comment")
 

@@ -22,6 +22,8 @@ from ..sources import work
 
 # Similarity for texts of about the phrase's length, and for longer ones.
 NEAR, STRICT = 80, 92
+#: Most generic texts (none longer than a phrase reaches) that are broadcast; with more of them, texts within reach are shuffled.
+FOUND = 100_000
 #: A short phrase table of our own (phrase, longest text in which the phrase's one word makes a text generic). The caps 59, 112, 120 and 35.
 PHRASES = [
     ("lgtm", 59), ("thanks", 59), ("thank you", None), ("done", 59), ("fixed", 112), ("updated", 120), ("ok", 59), ("yes", 59), ("no", 59), ("nit", None),
@@ -81,16 +83,19 @@ def matches(few: DataFrame, table: DataFrame, longest: int) -> DataFrame:
 def with_generic(comments: DataFrame, phrases: DataFrame, text_col: str, name: str = "generic") -> DataFrame:
     """comments with a boolean column: the text is generic.
 
-    Texts beyond the reach of any phrase are not, and are neither shuffled nor joined.
+    Generic texts are found among the distinct ones, and comments meet them where they are. Where there are too many of them for
+    that, texts beyond the reach of any phrase are not generic, and are neither shuffled nor joined.
     """
     table = normalised(phrases)
     most, longest, _ = reach(table)
-    keyed = comments.withColumn("__n", text.words_only(text_col))
+    folder, n = work.shared_folder(comments.sparkSession, "generic"), text.words_only(text_col)
+    few = work.written(comments.select(n.alias("n")).filter(F.length("n") <= most).distinct(), f"{folder}/texts")
+    found = work.written(matches(few, table, longest), f"{folder}/found")
+    keyed, hit = comments.withColumn("__n", n), F.col("__n") == F.col("n")
+    if found.count() <= FOUND:
+        return keyed.join(F.broadcast(found.withColumn("__hit", F.lit(True))), hit, "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__n", "n", "__hit")
     far = keyed.filter(F.length("__n") > most).withColumn(name, F.lit(False))
-    near = keyed.filter(F.length("__n") <= most)
-    few = work.written(near.select(F.col("__n").alias("n")).distinct(), f"{work.shared_folder(comments.sparkSession, 'generic')}/texts")
-    found = matches(few, table, longest).withColumn("__hit", F.lit(True))
-    judged = near.join(found, F.col("__n") == F.col("n"), "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("n", "__hit")
+    judged = keyed.filter(F.length("__n") <= most).join(found.withColumn("__hit", F.lit(True)), hit, "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("n", "__hit")
     return far.unionByName(judged).drop("__n")
 
 
