@@ -29,6 +29,12 @@ _ORDER = "md5('42-' || record_id::STRING || '-' || window_no::STRING || '-' || c
 _IDS = ["record_id", "window_no", "copy_no"]
 
 
+def _slim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives with the keys of diff and comment in their place, for plans whose results have keys: texts are neither written nor shuffled."""
+    rows = _positives(spark, sf_dir)
+    return rows.withColumns({"diff": text.content_key("diff"), "comment": text.content_key("comment")})
+
+
 @query(f"WITH {_POSITIVES} SELECT record_id, window_no, copy_no, 1 AS label, pr_number, commenter, md5(diff) AS diff_key, md5(comment) AS comment_key FROM pos")
 def make_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pair of diff window and kept text for each window; suggestions twice."""
@@ -42,13 +48,13 @@ ok AS (SELECT jj.*, p.commenter AS theirs, p.comment AS said, row_number() OVER
 SELECT record_id, window_no, copy_no, 0 AS label, pr_number, theirs AS commenter, md5(diff) AS diff_key, md5(said) AS comment_key FROM ok WHERE nth = 1""")
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each positive the same diff with a text of another review."""
-    return dataset.negatives(_positives(spark, sf_dir), _IDS).select(*_IDS, "label", "pr_number", "commenter", text.content_key("diff").alias("diff_key"), text.content_key("comment").alias("comment_key"))
+    return dataset.negatives(_slim(spark, sf_dir), _IDS).select(*_IDS, "label", "pr_number", "commenter", F.col("diff").alias("diff_key"), F.col("comment").alias("comment_key"))
 
 
 @query(f"""WITH {_POSITIVES}, num AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}, record_id, window_no, copy_no) - 1 AS row_no, count(*) OVER () AS n FROM pos)
 SELECT record_id, window_no, copy_no, row_no, CASE WHEN row_no < floor(n * 0.8) THEN 'train' WHEN row_no < floor(n * 0.8) + floor(n * 0.1) THEN 'dev' ELSE 'test' END AS part FROM num""")
 def split_80_10_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.split(_positives(spark, sf_dir), _IDS).select(*_IDS, "row_no", "part")
+    return dataset.split(_positives(spark, sf_dir).select(_IDS), _IDS).select(*_IDS, "row_no", "part")
 
 
 _FA = "CASE WHEN a + b <= m THEN a ELSE greatest(least(a, ceil(m / 2.0)::INT), m - b) END"
@@ -137,8 +143,8 @@ z AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || record_id::STRING || '-
 SELECT record_id, window_no, copy_no, label, md5(comment) AS comment_key, row_no, CASE WHEN row_no < floor(n * 0.8) THEN 'train' WHEN row_no < floor(n * 0.8) + floor(n * 0.1) THEN 'dev' ELSE 'test' END AS part FROM z""")
 def split_with_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives and negatives together, in hash order, cut 80 : 10 : 10."""
-    rows = dataset.with_negatives(_positives(spark, sf_dir), _IDS)
-    return dataset.split(rows, [*_IDS, "label"]).select(*_IDS, "label", text.content_key("comment").alias("comment_key"), "row_no", "part")
+    rows = dataset.with_negatives(_slim(spark, sf_dir), _IDS).select(*_IDS, "label", F.col("comment").alias("comment_key"))
+    return dataset.split(rows, [*_IDS, "label"]).select(*_IDS, "label", "comment_key", "row_no", "part")
 
 
 @query(f"""WITH k AS (SELECT doc_id, md5(text || '|{classify.FEATURES}') AS key FROM documents), h AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
