@@ -1,7 +1,9 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -385,3 +387,25 @@ def test_generic_texts_are_met_in_one_pass_or_shuffled_alike(spark, monkeypatch)
     want = sorted(map(tuple, once.select("i", "generic").collect()))
     monkeypatch.setattr(generic, "FOUND", -1)
     assert sorted(map(tuple, run().select("i", "generic").collect())) == want and any(g for _, g in want)
+
+
+def test_tfidf_scores_with_and_without_columns(spark, monkeypatch):
+    """Random texts and many copies of one: the same results as brute force over the weights, and the copies do not all get a score."""
+    rng = np.random.default_rng(3)
+    said = {i: " ".join(f"w{int(w)}" for w in rng.zipf(1.4, 30) if w < 400) for i in range(240)} | {i: "copied words here" for i in range(300, 360)}
+    docs = spark.createDataFrame(list(said.items()), "doc_id long, text string").repartition(3)
+    lists = pa.array([re.findall(r"\w{2,}", t) for t in said.values()], pa.list_(pa.string()))
+    d, t, x, names = tfidf.counted(lists, tfidf.STOP_WORDS)
+    known = tfidf.vocabulary(docs.select(tfidf.words("text").alias("words")), 500).toArrow()
+    d, t, x = tfidf.weigh(lists, known["term"].combine_chunks(), np.log((1 + len(said)) / (1 + known["df"].to_numpy())) + 1)
+    m = np.zeros((len(said), 500))
+    m[d, t] = x
+    ids, want = list(said), []
+    for q in (i for i in ids if i % 10 == 0):
+        score = np.round(m @ m[ids.index(q)], 9)
+        best = sorted((-s, i) for s, i in zip(score, ids) if s > 0 and i != q)[:3]
+        want += [(q, i, pytest.approx(-s, abs=2e-9)) for s, i in best]
+    for columns, size in ((512, 1 << 20), (7, 4000), (1, 1 << 20)):
+        monkeypatch.setattr(tfidf, "COLUMNS", columns)
+        got = tfidf.similar(docs, F.col("doc_id") % 10 == 0, 3, most=500, block_bytes=size).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["doc_id"], r["score"]) for r in got] == want
