@@ -44,26 +44,30 @@ def negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED) -> DataFram
     each round settles at least half of what is open. Raises if there is one review only.
     """
     folder = work.shared_folder(rows.sparkSession, "negatives")
-    rows = work.written(rows, f"{folder}/rows")
+    return _negatives(work.written(rows.withColumn("__at", F.monotonically_increasing_id()), f"{folder}/rows"), id_cols, seed, folder)
+
+
+def _negatives(rows: DataFrame, id_cols: list[str], seed: int, folder: str) -> DataFrame:
+    """negatives() of written rows with a number of their own (__at). Rounds draw on slim rows; texts meet once, at the end."""
     if rows.select("pr_number").distinct().limit(2).count() < 2:
         raise ValueError("negatives need rows of two reviews at least")
-    key = ranking.hash_key(seed, *[F.col(c) for c in id_cols])
-    placed, n = ranking.numbered(rows, key, *id_cols)
+    key, slim = ranking.hash_key(seed, *[F.col(c) for c in id_cols]), rows.select(*id_cols, "pr_number", "__at")
+    placed, n = ranking.numbered(slim, key, *id_cols)
     placed = work.written(placed, f"{folder}/numbered")
     largest = placed.groupBy("pr_number").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("pr_number", "n").alias("pr"), F.max("n").alias("n")).first()
-    shown, done, k = [*id_cols, "pr_number", "diff", "row_no"], [], 0
+    shown, done, k = ["__at", "pr_number", "row_no"], [], 0
 
     def drawn(open_: DataFrame, among: DataFrame, size: int, k: int) -> DataFrame:
         j = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(f"{seed}n{k}"), F.col("row_no").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long"), F.lit(size))
-        partner = among.select(F.col("row_no").alias("j"), F.col("pr_number").alias("other"), F.col("commenter").alias("theirs"), F.col("comment").alias("said"))
+        partner = among.select(F.col("row_no").alias("j"), F.col("pr_number").alias("other"), F.col("__at").alias("__their"))
         return work.written(open_.withColumn("j", j).join(partner, "j"), f"{folder}/round-{len(done)}")
 
     def settle(met: DataFrame) -> None:
-        done.append(met.select(*id_cols, F.lit(0).alias("label"), "pr_number", F.col("theirs").alias("commenter"), "diff", F.col("said").alias("comment")))
+        done.append(met.select("__at", "__their"))
 
     open_ = placed.select(shown)
     if 2 * largest["n"] > n:
-        others, size = ranking.numbered(rows.filter(F.col("pr_number") != largest["pr"]), key, *id_cols)
+        others, size = ranking.numbered(slim.filter(F.col("pr_number") != largest["pr"]), key, *id_cols)
         settle(drawn(open_.filter(F.col("pr_number") == largest["pr"]), work.written(others, f"{folder}/others"), size, 0))
         open_ = open_.filter(F.col("pr_number") != largest["pr"])
     while True:
@@ -72,14 +76,16 @@ def negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED) -> DataFram
         open_, k = met.filter(~fits).select(shown), k + 1
         if open_.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done)
+    own, theirs = rows.select("__at", *id_cols, "pr_number", "diff"), rows.select(F.col("__at").alias("__their"), "commenter", "comment")
+    return reduce(DataFrame.unionByName, done).join(own, "__at").join(theirs, "__their").select(*id_cols, F.lit(0).alias("label"), "pr_number", "commenter", "diff", "comment")
 
 
 def with_negatives(rows: DataFrame, id_cols: list[str], seed: int = SEED) -> DataFrame:
     """Positives (written once) and a negative for each, with the columns that both have."""
-    rows = work.written(rows, f"{work.shared_folder(rows.sparkSession, 'both')}/rows")
+    folder = work.shared_folder(rows.sparkSession, "both")
+    rows = work.written(rows.withColumn("__at", F.monotonically_increasing_id()), f"{folder}/rows")
     shown = [*id_cols, "label", "pr_number", "commenter", "diff", "comment"]
-    return rows.select(shown).unionByName(negatives(rows, id_cols, seed).select(shown))
+    return rows.select(shown).unionByName(_negatives(rows, id_cols, seed, folder).select(shown))
 
 
 def split(rows: DataFrame, id_cols: list[str], seed: int = SEED, train: float = TRAIN, dev: float = DEV) -> DataFrame:

@@ -24,7 +24,9 @@ def _words(c: Column) -> Column:
 
 
 def features(pairs: DataFrame, diff: str = "diff", comment: str = "comment") -> DataFrame:
-    """Adds the features of each pair; two empty texts share nothing."""
+    """Adds the features of each pair, unless they are there; two empty texts share nothing. train() and score() take such rows without their texts."""
+    if f"__{_FEATURES[0]}" in pairs.columns:
+        return pairs
     sets = pairs.withColumns({"__a": _words(F.col(diff)), "__b": _words(F.col(comment))}).withColumn("__both", F.array_intersect("__a", "__b"))
     n = lambda c: F.size(c).cast("double")
     share = lambda whole: F.coalesce(F.try_divide(n("__both"), n(whole)), F.lit(0.0))
@@ -42,4 +44,4 @@ def train(pairs: DataFrame, label: str = "label", diff: str = "diff", comment: s
 def score(model: PipelineModel, pairs: DataFrame, diff: str = "diff", comment: str = "comment", name: str = "p_pair") -> DataFrame:
     """pairs with the probability that the comment belongs to the diff."""
     out = model.transform(features(pairs, diff, comment)).withColumn(name, F.get(vector_to_array("__probability"), F.lit(1)))
-    return out.select(*pairs.columns, name)
+    return out.select(*[c for c in pairs.columns if c.removeprefix("__") not in _FEATURES], name)

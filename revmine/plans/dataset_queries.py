@@ -171,7 +171,8 @@ def recommender_with_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P(the comment belongs to the diff) of held-out pairs, by a scorer trained on positives and negatives."""
-    rows = dataset.split(dataset.with_negatives(_positives(spark, sf_dir), _IDS), [*_IDS, "label"])
+    met = pairs.features(dataset.with_negatives(_positives(spark, sf_dir), _IDS)).drop("pr_number", "commenter", "diff", "comment")
+    rows = dataset.split(met, [*_IDS, "label"])
     rows = work.written(rows, f"{work.shared_folder(spark, 'pairs')}/rows")
     model = pairs.train(rows.filter("part = 'train'"))
     return pairs.score(model, rows.filter("part <> 'train'")).select(*_IDS, "label", F.round("p_pair", 6).alias("p_pair"))

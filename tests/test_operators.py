@@ -409,3 +409,22 @@ def test_tfidf_scores_with_and_without_columns(spark, monkeypatch):
         monkeypatch.setattr(tfidf, "COLUMNS", columns)
         got = tfidf.similar(docs, F.col("doc_id") % 10 == 0, 3, most=500, block_bytes=size).orderBy("query_id", "rank").collect()
         assert [(r["query_id"], r["doc_id"], r["score"]) for r in got] == want
+
+
+def test_negatives_are_drawn_on_slim_rows(spark, tmp_path, monkeypatch):
+    """Texts are written once, with the rows; what the rounds write has numbers and reviews only."""
+    seen, own = [], dataset.work.written
+    monkeypatch.setattr(dataset.work, "written", lambda df, path: seen.append((path.rsplit("/", 1)[1], df.columns)) or own(df, path))
+    rows = [(i, f"p{i % 7}", f"c{i}", f"d{i}", f"t{i}", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, pr_number string, commenter string, diff string, comment string, label int")
+    got = dataset.with_negatives(df, ["k"]).collect()
+    assert len(got) == 120 and [n for n, c in seen if "diff" in c or "comment" in c] == ["rows"] and any(n.startswith("round") for n, _ in seen)
+    assert all(r["diff"] == f"d{r['k']}" and (r["comment"] == f"t{r['k']}") == bool(r["label"]) for r in got)
+
+
+def test_pair_features_may_come_without_their_texts(spark):
+    df = spark.createDataFrame([(i, i % 2, "alpha beta gamma", "alpha beta" if i % 2 else "delta") for i in range(40)], "i int, label int, diff string, comment string")
+    model = pairs.train(df)
+    slim = pairs.features(df).drop("diff", "comment")
+    assert sorted(map(tuple, pairs.score(model, slim).select("i", "p_pair").collect())) == sorted(map(tuple, pairs.score(model, df).select("i", "p_pair").collect()))
+    assert pairs.score(model, slim).columns == ["i", "label", "p_pair"] and pairs.train(slim).stages[1].coefficients == model.stages[1].coefficients
