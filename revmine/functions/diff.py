@@ -48,6 +48,11 @@ def pair_lengths(a: Column, b: Column, most: Column) -> tuple[Column, Column]:
     return left, F.when(a + b <= most, b).otherwise(most - left)
 
 
+def decisive(length: int) -> int:
+    """How many ids of b decide pair_features: ``length - 3`` ids of both fit, and one more tells that b does not."""
+    return length - 2
+
+
 def pair_features(a: Column, b: Column, length: int, most_a: int = 50, cls: int = 101, sep: int = 102, pad: int = 0, left_pad: bool = False, cls_last: bool = False) -> Column:
     """Struct (input_ids, input_mask, segment_ids) of two id arrays: [CLS] a [SEP] b [SEP], or CLS last, padded to ``length``.
 

@@ -79,8 +79,8 @@ SELECT comment_id, md5(array_to_string(list_concat(ids, list_transform(range(0,
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model inputs of (diff, comment) pairs at length 128; token ids are word lengths here."""
     c = sql.comments(spark, sf_dir)
-    ids = lambda t: F.transform(text.tokens(t), lambda w: (F.length(w) + 200).cast("int"))
-    f = c.select("comment_id", diff.pair_features(ids("diff_text"), ids("comment_text"), 128).alias("f"))
+    ids = lambda t, n: F.transform(text.tokens(t, n), lambda w: (F.length(w) + 200).cast("int"))
+    f = c.select("comment_id", diff.pair_features(ids("diff_text", 50), ids("comment_text", diff.decisive(128)), 128).alias("f"))
     total = lambda name: F.aggregate(F.col(f"f.{name}"), F.lit(0), lambda acc, x: acc + x)
     return f.select("comment_id", F.md5(F.array_join("f.input_ids", ",").cast("binary")).alias("ids_key"), total("input_mask").alias("n_real"), total("segment_ids").alias("n_second"))
 

@@ -163,3 +163,23 @@ def test_white_space_by_single_characters_is_that_of_the_class(spark):
     got = df.select("t", text.strip("t").alias("s"), text.tokens("t").alias("k"), text.merge_key("t").alias("m"), text.token_count("t").alias("n"), *[w.alias(f"w{i}") for i, w in enumerate(want)]).collect()
     assert all((r["s"], r["k"], r["m"], r["n"]) == (r["w0"], r["w1"], r["w2"], len(r["w1"])) for r in got)
     assert "[^" not in text.OTHER
+
+
+def test_first_tokens_are_those_of_the_whole_text(spark):
+    """tokens(c, n) is the beginning of tokens(c), whatever stands between and around tokens and however long one is; nothing behind is cut out."""
+    texts = [None, "", " \u3000\n", "a", " a", "a ", "\x85a\u2028b\xa0\x1fc\u200bd\t", "x" * 50000, "x" * 50000 + " y z", " " * 50000 + "a b", "\U0001f600 \xe9\xff \u4e00\u3000\u4e8c w v", "a b c" + " " * 50000, "a b " * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.orderBy("i").select("t", *[text.tokens("t", n).alias(f"k{n}") for n in (1, 2, 3, 126)]).collect()
+    for r in got:
+        for n in (1, 2, 3, 126):
+            assert r[f"k{n}"] == (r["t"] or "").split()[:n]
+
+
+def test_pair_features_are_decided_by_few_tokens(spark):
+    """Over all sizes around the cuts: ids of the first decisive() tokens give what the ids of all tokens give, and the plan takes no others."""
+    sizes = [(a, b) for a in (0, 1, 2, 3, 4, 5, 6, 9) for b in range(15)]
+    ids = F.transform(F.sequence(F.lit(1), F.col("b")), lambda x: x.cast("int"))
+    some = spark.createDataFrame(sizes, "a int, b int").withColumns({"x": F.array_repeat(F.lit(7), F.col("a")), "y": F.when(F.col("b") > 0, ids).otherwise(F.array().cast("array<int>"))})
+    for length, most in ((10, 4), (9, 6), (8, 3)):
+        assert some.filter(diff.pair_features(F.col("x"), F.slice("y", 1, diff.decisive(length)), length, most) != diff.pair_features(F.col("x"), F.col("y"), length, most)).isEmpty()
+        assert some.filter(diff.pair_features(F.slice("x", 1, most), F.col("y"), length, most) != diff.pair_features(F.col("x"), F.col("y"), length, most)).isEmpty()
