@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..sources import work
+
+# Fixed value: up to so many texts that share a key are broadcast by their digests.
+MOST_SHARED = 400_000
+
 
 def _or_zero(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
@@ -113,3 +119,26 @@ def frequencies(texts: DataFrame, column: str) -> DataFrame:
 def merged(counted: DataFrame, key: Column) -> DataFrame:
     """(comment, count) -> (norm, total_count, variants): counts of texts with one key summed, their texts listed in order."""
     return counted.groupBy(key.alias("norm")).agg(F.sum("count").alias("total_count"), F.array_sort(F.collect_list("comment")).alias("variants")).orderBy(F.desc("total_count"), "norm")
+
+
+def merged_keys(texts: DataFrame, column: str, key: Column, most: int = MOST_SHARED) -> DataFrame:
+    """(norm_key, total_count, variants_key): what merged(frequencies(texts, column), key) has, in no order, with md5 keys of norm and of the variants joined by '|'.
+
+    Texts are told apart by SHA-256, so slim rows are counted and merged. Only the texts of a key that has several are read once
+    more and brought together, met by their digests; all others stay where they are.
+    """
+    folder = work.shared_folder(texts.sparkSession, "merged")
+    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    rows = texts.select(digest(F.col(column)).alias("text_sha"), text.content_key(column).alias("text_key"), digest(key).alias("norm_sha"), text.content_key(key).alias("norm_key"))
+    seen = work.written(rows.groupBy("text_sha", "text_key", "norm_sha", "norm_key").agg(F.count(F.lit(1)).alias("n")), f"{folder}/texts")
+    own = F.min(F.when(F.col("text_sha").isNotNull(), F.col("text_key")))
+    norms = seen.groupBy("norm_sha", "norm_key").agg(F.sum("n").alias("total_count"), F.count("text_sha").alias("variants"), F.coalesce(own, F.md5(F.lit("").cast("binary"))).alias("variants_key"))
+    norms, shown = work.written(norms, f"{folder}/norms"), ["norm_key", "total_count", "variants_key"]
+    several = norms.filter("variants > 1").drop("variants_key")
+    shared = work.written(seen.filter("text_sha is not null").join(several, "norm_sha", "left_semi").select("text_sha", "norm_sha"), f"{folder}/shared")
+    n = shared.count()
+    if not n:
+        return norms.select(shown)
+    met = texts.select(digest(F.col(column)).alias("text_sha"), F.col(column).alias("text")).join(F.broadcast(shared) if n <= most else shared, "text_sha")
+    joined = met.groupBy("norm_sha", "text").agg(F.lit(1)).groupBy("norm_sha").agg(text.content_key(F.array_join(F.array_sort(F.collect_list("text")), "|")).alias("variants_key"))
+    return norms.filter("variants <= 1").select(shown).unionByName(several.join(joined, "norm_sha").select(shown))

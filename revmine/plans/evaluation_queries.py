@@ -36,8 +36,7 @@ _KEY = sql.gsub(sql.gsub(f"lower({sql.strip('comment')})", f"[^a-z0-9{text.SPACE
 @query(f"WITH {sql.COMMENTS}, f AS (SELECT comment_text AS comment, count(*) AS n FROM c GROUP BY 1) SELECT md5({_KEY}) AS norm_key, sum(n)::BIGINT AS total_count, md5(array_to_string(list_sort(list(comment)), '|')) AS variants_key FROM f GROUP BY {_KEY}")
 def near_dup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of comments that differ in punctuation, case and spacing only, merged."""
-    counted = evaluate.frequencies(sql.comments(spark, sf_dir), "comment_text")
-    return evaluate.merged(counted, text.merge_key("comment")).select(text.content_key("norm").alias("norm_key"), "total_count", text.content_key(F.array_join("variants", "|")).alias("variants_key"))
+    return evaluate.merged_keys(sql.comments(spark, sf_dir), "comment_text", text.merge_key("comment_text"))
 
 
 _CELL = "CASE WHEN predicted = 1 THEN CASE WHEN label = 1 THEN 'tp' ELSE 'fp' END ELSE CASE WHEN label = 1 THEN 'fn' ELSE 'tn' END END"

@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from revmine.functions import declarations, fuzzy
+from revmine.functions import declarations, fuzzy, text
 from revmine.operators import ann, classify, dataset, encode, evaluate, generic, ingest, knn, pairs, ranking, retrieval, tfidf
+from revmine.plans import catalog
 
 
 def longest(a, b):
@@ -428,3 +429,22 @@ def test_pair_features_may_come_without_their_texts(spark):
     slim = pairs.features(df).drop("diff", "comment")
     assert sorted(map(tuple, pairs.score(model, slim).select("i", "p_pair").collect())) == sorted(map(tuple, pairs.score(model, df).select("i", "p_pair").collect()))
     assert pairs.score(model, slim).columns == ["i", "label", "p_pair"] and pairs.train(slim).stages[1].coefficients == model.stages[1].coefficients
+
+
+@pytest.mark.parametrize("most", [0, 3, 400_000])
+def test_merged_keys_are_those_of_merged(spark, most):
+    """Digests of what merged(frequencies()) gives, with null, blank, repeated and clashing texts, however the shared ones are met."""
+    texts = [None, None, "", " ", "!!!", "LGTM", "lgtm!", "lgtm!", "L G T M", "l  g\tt\u3000m", "L\xa0g T m.", "only once", "twice", "twice", "\xe9a", "a", "a|b", "a\u2028\x85b", "a b", "\u4e00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = evaluate.merged(evaluate.frequencies(df, "t"), text.merge_key("comment")).select(text.content_key("norm"), "total_count", text.content_key(F.array_join("variants", "|")))
+    got = evaluate.merged_keys(df, "t", text.merge_key("t"), most)
+    assert got.columns == ["norm_key", "total_count", "variants_key"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    once = evaluate.merged_keys(df.filter("t like '%once'"), "t", text.merge_key("t"), most).collect()
+    assert [r["total_count"] for r in once] == [1]
+
+
+def test_near_dup_merge_does_not_order_whole_texts(spark, sf):
+    """Digests are counted and merged, so texts of all comments are neither sorted nor collected."""
+    plan = catalog.QUERIES["near_dup_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and plan.count("collect_list") <= 1
