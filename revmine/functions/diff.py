@@ -30,15 +30,16 @@ def window_count(n: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Col
 
 
 def windows(df: DataFrame, column: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """A row for each window of white-space tokens: window_no (from 1) and window_text. The last window reaches the end; a blank text has one empty window.
+    """A row for each window of white-space tokens: window_no (from 1), window_text and window_tokens (their number). The last window reaches the end; a blank text has one empty window.
 
     A text is tokenised once, and only window texts are exploded: no row carries all the tokens.
     """
     step = window - overlap
-    part = lambda tokens: lambda k: F.array_join(F.slice(tokens, (k - 1) * step + 1, F.lit(window)), " ")
+    joined = lambda w: F.struct(F.array_join(w, " ").alias("text"), F.size(w).alias("n"))
+    part = lambda tokens: lambda k: text.let(F.slice(tokens, (k - 1) * step + 1, F.lit(window)), joined)
     cut = text.let(text.tokens(column), lambda tokens: F.transform(F.sequence(F.lit(1), window_count(F.size(tokens), window, overlap)), part(tokens)))
     out = df.select("*", F.posexplode(cut).alias("window_no", "window_text"))
-    return out.withColumn("window_no", F.col("window_no") + 1)
+    return out.withColumns({"window_no": F.col("window_no") + 1, "window_text": F.col("window_text.text"), "window_tokens": F.col("window_text.n")})
 
 
 def pair_lengths(a: Column, b: Column, most: Column) -> tuple[Column, Column]:

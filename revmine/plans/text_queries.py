@@ -166,7 +166,7 @@ SELECT comment_id, w AS window_no, len(list_slice(tk, (w - 1) * 150 + 1, (w - 1)
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 200 tokens that overlap by 50."""
     w = diff.windows(sql.comments(spark, sf_dir).select("comment_id", "diff_text"), "diff_text")
-    return w.select("comment_id", F.col("window_no").cast("long").alias("window_no"), text.token_count("window_text").cast("long").alias("n_tokens"), text.content_key("window_text").alias("window_key"))
+    return w.select("comment_id", F.col("window_no").cast("long").alias("window_no"), F.col("window_tokens").cast("long").alias("n_tokens"), text.content_key("window_text").alias("window_key"))
 
 
 _BODY = "CASE WHEN suggestion_text <> '' THEN suggestion_text ELSE comment_text END"

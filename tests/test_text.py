@@ -183,3 +183,16 @@ def test_pair_features_are_decided_by_few_tokens(spark):
     for length, most in ((10, 4), (9, 6), (8, 3)):
         assert some.filter(diff.pair_features(F.col("x"), F.slice("y", 1, diff.decisive(length)), length, most) != diff.pair_features(F.col("x"), F.col("y"), length, most)).isEmpty()
         assert some.filter(diff.pair_features(F.slice("x", 1, most), F.col("y"), length, most) != diff.pair_features(F.col("x"), F.col("y"), length, most)).isEmpty()
+
+
+def test_windows_count_their_tokens(spark, sf):
+    """window_tokens is what a count over window_text gives, and the plan does not cut the texts of windows into tokens again."""
+    from revmine.plans import catalog
+
+    texts = [None, "", "\u2003", "a", "a\n\nb\x85c  d", " ".join("w" * (i % 5 + 1) for i in range(23)), " x\t" * 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for window, overlap in ((8, 2), (5, 0), (200, 50)):
+        got = diff.windows(df, "t", window, overlap).withColumn("want", text.token_count("window_text")).collect()
+        assert len(got) > len(texts) - 1 and all(r["window_tokens"] == r["want"] and r["window_text"].split(" ") == (r["window_text"].split() or [""]) for r in got)
+    plan = catalog.QUERIES["token_windows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
