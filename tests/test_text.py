@@ -196,3 +196,16 @@ def test_windows_count_their_tokens(spark, sf):
         assert len(got) > len(texts) - 1 and all(r["window_tokens"] == r["want"] and r["window_text"].split(" ") == (r["window_text"].split() or [""]) for r in got)
     plan = catalog.QUERIES["token_windows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_normal_forms_by_tables_of_bits_are_those_of_the_classes(spark):
+    """words_only, even and canonical against the classes that the twins use, on every character that could matter, alone, in runs and between letters; no range or negation is tested for Latin-1."""
+    points = [*range(0x3100), 0xD7FF, 0xE000, 0xFEFF, 0xFFFD, 0x10400, 0x1D7CE, 0x1F600, 0x10FFFF]
+    texts = [f"{chr(p)}a{chr(p)}{chr(p)}B {chr(p)}c{chr(p)} d  e{chr(p)}" for p in points] + [" " * 3000 + "x" + " \n" * 3000 + "y", "  ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    spaced = F.regexp_replace(text.text("t"), f"[{text.SPACE}]+", " ")
+    want = [F.lower(F.trim(F.regexp_replace(text.text("t"), f"[^{text.WORD}]+", " "))), spaced, F.lower(F.trim(spaced))]
+    got = df.select(F.array(text.words_only("t"), text.even("t"), text.canonical("t")).alias("got"), F.array(*want).alias("want"))
+    assert got.filter("got <> want").isEmpty()
+    shown = df.select(text.words_only("t"), text.canonical("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert f"[^{text.WORD}]" not in shown and f"[{text.SPACE}]" not in shown
